@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tracklathe.llm import mixing, packing
+from tracklathe.llm import mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_toxicity": toxicity.query,
     "op4_mixing": mixing.query,
+    "op9_quality": quality.query,
 }
 SQL = {
     "op4_mixing": mixing.SQL,
