@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracklathe.llm import mixing, packing, quality, toxicity
+from tracklathe.llm import mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op4_mixing": mixing.query,
     "op9_quality": quality.query,
+    "op10_simhash": simhash.query,
 }
 SQL = {
     "op4_mixing": mixing.SQL,
