@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tracklathe.llm import mixing, packing, quality, simhash, toxicity
+from tracklathe.llm import mixing, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op4_mixing": mixing.query,
+    "op5_topk": topk.query,
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
 }
 SQL = {
     "op4_mixing": mixing.SQL,
+    "op5_topk": topk.SQL,
 }
