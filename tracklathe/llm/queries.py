@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracklathe.llm import mixing, packing, quality, simhash, topk, toxicity
+from tracklathe.llm import language_model, mixing, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op4_mixing": mixing.query,
     "op5_topk": topk.query,
+    "op6_language_model": language_model.query,
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
 }
