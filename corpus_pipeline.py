@@ -6,26 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklathe.llm import mixing, packing
+from tracklathe.llm import mixing, packing, quality, simhash, toxicity
 from tracklathe.llm._shared import shared_folder, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps, learned from the labels of documents that came in."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that aren't toxic, learned from the labels of documents that came in."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: rows are dropped or repeated."""
+    """Sources at their target weights: documents are dropped or repeated."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Segments of documents that fill windows."""
+    """Segments of documents that fill windows in the target proportions."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("toxicity", clean),
+    ("SimHash near-dedup", single),
     ("mixing sources to target weights", mix),
     ("packing", pack),
 ]
 
-#: The stages learn models and walk graphs, which SQL can't express; tests compare with brute force.
+#: The stages fit models and walk graphs, which SQL can't express; tests compare with brute force.
 ORACLE_SQL = None
 
 
