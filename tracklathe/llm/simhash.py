@@ -45,7 +45,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
         counts = Counter((text or "").lower().split())
         if not counts:
             continue
-        for w in counts.keys() - slot.keys():
+        for w in [w for w in counts if w not in slot]:
             slot[w] = zlib.crc32(w.encode()) & (SLOTS - 1)
         rows = np.fromiter((slot[w] for w in counts), np.int64, len(counts))
         w = np.fromiter((weight[n] if n < 1024 else round(16 * (1 + math.log(n))) for n in counts.values()), np.float32, len(counts))
