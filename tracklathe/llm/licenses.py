@@ -68,24 +68,31 @@ def machines(templates: tuple[tuple[str, str], ...]) -> tuple:
     return plain, having, [words(t) for _, t in templates]
 
 
-def blocks(text: str, block: int = BLOCK) -> Iterator[tuple[int, str]]:
-    """Start and text of the candidate blocks: lines with a cue, and the lines up to 100 characters after them."""
-    found: list[tuple[int, int]] = []
+def has_cue(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in CUES)
+
+
+def blocks(text: str, reach: int, block: int = BLOCK) -> Iterator[tuple[int, str, str]]:
+    """Start, text and wider text of the candidate blocks.
+
+    A block is a line with a cue; the wider text goes on with the lines after it, up to a blank one or ``reach``
+    characters, as wordings are wrapped. A longer line is read in blocks that overlap by half.
+    """
+    lines = text.split("\n")
     start = 0
-    for line in text.split("\n"):
-        end = start + len(line)
-        low = line.lower()
-        cue = any(c in low for c in CUES)
-        if found and found[-1][1] == start - 1 and line.strip() and len(line) <= 100 and end - found[-1][0] <= block:
-            found[-1] = (found[-1][0], end)
-        elif cue:
-            found.append((start, end))
-        start = end + 1
-    for a, b in found:
-        for k in range(a, max(b - block // 2, a + 1), block // 2):
-            piece = text[k : min(k + block, b)]
-            if any(c in piece.lower() for c in CUES):
-                yield k, piece
+    for k, line in enumerate(lines):
+        if has_cue(line):
+            end, more = start + len(line), k + 1
+            while end - start < reach and more < len(lines) and lines[more].strip():
+                end += 1 + len(lines[more])
+                more += 1
+            wide = text[start : min(end, start + max(reach, len(line)))]
+            for j in range(0, max(len(line) - block // 2, 1), block // 2):
+                piece = line[j : j + block]
+                if has_cue(piece):
+                    yield start + j, piece, wide if len(line) <= block else piece
+        start += len(line) + 1
 
 
 def compare(template: list[str], block: list[str]) -> tuple[float, list[str], list[str]]:
@@ -99,7 +106,9 @@ def compare(template: list[str], block: list[str]) -> tuple[float, list[str], li
         missing += template[t : m.a]
         added += block[b : m.b]
         t, b = m.a + m.size, m.b + m.size
-    missing += template[t:]
+    tail = template[t:]
+    missing += tail
+    added += block[b : b + len(tail)]  # what stands in place of the end
     return 1 - len(missing) / len(template), missing, added
 
 
@@ -122,6 +131,21 @@ def examine(block: str, templates: tuple[tuple[str, str], ...]) -> list[tuple]:
     return [best] if best else []
 
 
+def found(text: str, templates: tuple[tuple[str, str], ...]) -> Iterator[tuple]:
+    """Rows for one text. A line confirmed alone stands; else its wider text is tried, and covers the lines in it."""
+    reach = max((len(t) * 3 // 2 for _, t in templates), default=0)
+    covered = -1
+    for at, line, wide in blocks(text, reach):
+        if at < covered:
+            continue
+        rows = examine(line, templates)
+        if wide != line and not any(r[-1] for r in rows):
+            wider = examine(wide, templates)
+            if any(r[-1] for r in wider):
+                rows, covered = wider, at + len(wide)
+        yield from ((at, *r) for r in rows)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Blocks of documents that compress better given a license's wording: a row for each, best template.
 
@@ -145,7 +169,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("doc_id", pa.int64()), ("block_start", pa.int64()), ("license", pa.string()), ("template", pa.int32()), ("saving", pa.float64()), ("wording", pa.float64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string())), ("confirmed", pa.bool_())])
         for b in batches:
-            rows = [(i, at, *row) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for at, piece in blocks(t.as_py()) for row in examine(piece, wanted)]
+            rows = [(i, *row) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for row in found(t.as_py(), wanted)]
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], schema=kind)
 
     return docs.where(cue).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
