@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,10 @@ WINDOW = 2048
 WEIGHTS = {"src0": 4.0}
 OTHER = 1.0
 BUCKETS = 1024
-#: Windows after which the deficits of a steady mixture are all zero again.
-PERIOD = 64
+#: Windows after which the deficits of a steady mixture are all zero again: as few as make every share a whole number
+#: of tokens, if that is at most LONGEST; else PERIOD, to which the shares are then rounded (to 1 in PERIOD * WINDOW).
+LONGEST = 4096
+PERIOD = 256
 SCHEMA = "window_id long, window_offset long, source string, doc_id long, doc_start long, n_tokens long"
 
 
@@ -38,7 +42,7 @@ class Phase:
     windows: int
     start: np.ndarray
     cum: np.ndarray
-    period: int = PERIOD
+    period: int
     offset: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -74,10 +78,17 @@ def quotas(weights: np.ndarray, active: np.ndarray, window: int, period: int) ->
     return q
 
 
-def schedule(totals: np.ndarray, weights: np.ndarray, window: int = WINDOW, period: int = PERIOD) -> list[Phase]:
+def period_of(weights: np.ndarray, active: np.ndarray, window: int) -> int:
+    parts = [Fraction(w).limit_denominator(10_000) for w in weights[active]]
+    total = sum(parts)
+    period = math.lcm(*[(p * window / total).denominator for p in parts])
+    return period if period <= LONGEST else PERIOD
+
+
+def schedule(totals: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> list[Phase]:
     """Deficit round-robin over queues of ``totals`` tokens, as at most two phases for each queue that runs dry.
 
-    While the same queues hold tokens, the rounds repeat after ``period`` windows, so a phase states one period. In the
+    While the same queues hold tokens, the rounds repeat after some windows, so a phase states one period. In the
     window in which a queue runs dry, what it can't give is given by the others, by their weights. Deficits carry from
     window to window and into that window.
     """
@@ -85,6 +96,7 @@ def schedule(totals: np.ndarray, weights: np.ndarray, window: int = WINDOW, peri
     totals = np.asarray(totals, np.int64)
     while (left := totals - given).sum() > 0:
         active = left > 0
+        period = period_of(weights, active, window)
         quota = quotas(weights, active, window, period)
         deficit, cum = np.zeros(len(totals), np.int64), np.zeros((len(totals), period + 1), np.int64)
         for j in range(period):
@@ -157,7 +169,7 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] = WEIG
     Columns: window_id and window_offset (place of the first token in the window), source, doc_id, doc_start (place of
     the first token in the document), n_tokens. Every token of every document is in exactly one segment; every window
     but the last is full. While all sources last, after any number of windows a source has had its share of the tokens
-    to within one token (deficits carry over). A source that has run dry drops out, and the others share by weight.
+    to within two tokens (deficits carry over; shares as PERIOD says). A source that has run dry drops out, and the others share by weight.
 
     A source's queue is its documents ordered by hash bucket, doc_id, text hash and length. Token offsets in the queue
     come from sums by bucket and running sums within a bucket, so no task holds a whole source; the schedule, a few
