@@ -18,9 +18,9 @@ from tracklathe.llm._shared import checkpointed, small, table
 from tracklathe.llm.graph import components
 
 #: Production parameters: 64-bit fingerprints for each document; bits that may differ in one of them, and in all together.
-PRINTS = 10
+PRINTS = 16
 BITS = 3
-TOTAL = 96
+TOTAL = 160
 SEED = 3
 #: Positional bytes, of eight, that two fingerprints within BITS bits are sure to share.
 SHARED = 8 - BITS
@@ -140,8 +140,8 @@ def members(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Groups of near-duplicate documents: keep_id (least doc_id) and doc_ids, sorted, LIST to a row.
 
-    Documents are linked if one of their ten 64-bit SimHash fingerprints of words differs in three bits at most and all
-    together in 96 of 640 (an angle of 27 degrees); a group is what links connect. The result equals brute force over all
+    Documents are linked if one of their sixteen 64-bit SimHash fingerprints of words differs in three bits at most and all
+    together in 160 of 1024 (an angle of 28 degrees); a group is what links connect. The result equals brute force over all
     pairs: two fingerprints within three bits are sure to share five positional bytes, and the index finds all that do.
 
     Defined results: null text is in no group; texts without words count as copies of each other; a row with null doc_id
