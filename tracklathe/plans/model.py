@@ -21,7 +21,7 @@ MISSING = -1e9
 
 @dataclass
 class OrdinalEncoder:
-    """Categories to their place in sorted order; -1 for unknown and missing."""
+    """{column}_code: the category's place in sorted order; -1 for unknown and missing."""
 
     columns: list[str]
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -34,9 +34,13 @@ class OrdinalEncoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         for c, table in self.tables.items():
-            df = df.withColumn(c, F.col(c).cast("string")).join(F.broadcast(table), c, "left").withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_code")
+            side = F.broadcast(table.withColumnRenamed(c, "_category"))
+            df = df.join(side, F.col(c).cast("string") == F.col("_category"), "left").withColumn(f"{c}_code", F.coalesce("_code", F.lit(-1))).drop("_code", "_category")
         return df
 
+    def inputs(self, names: list[str]) -> list[str]:
+        return [f"{n}_code" if n in self.columns else n for n in names]
+
 
 def indexer(columns: list[str]) -> StringIndexer:
     """The same as a pipeline stage; the place after the last stands for unknown."""
@@ -77,7 +81,7 @@ class Fitted:
     model: GBTRegressionModel
 
     def matrix(self, df: DataFrame) -> DataFrame:
-        return assemble(self.encoder.transform(df), self.names)
+        return assemble(self.encoder.transform(df), self.encoder.inputs(self.names))
 
     def predict(self, df: DataFrame, out: str = "tow") -> DataFrame:
         return self.scaler.inverse(self.model.transform(self.matrix(df)), "prediction", out)
@@ -112,7 +116,7 @@ def fit(features: FeatureSet, scaler: TargetScaler, params: Params = Params()) -
     encoder = OrdinalEncoder(features.categorical).fit(features.df)
     rows = scaler.fit(features.df).transform(encoder.transform(features.df)).where("label IS NOT NULL")
     gbt = GBTRegressor(maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate, maxBins=params.bins, subsamplingRate=params.rows, featureSubsetStrategy=params.features, seed=params.seed, weightCol="weight")
-    return Fitted(encoder, features.names, scaler, gbt.fit(assemble(rows, features.names).select("features", "label", "weight")))
+    return Fitted(encoder, features.names, scaler, gbt.fit(assemble(rows, encoder.inputs(features.names)).select("features", "label", "weight")))
 
 
 def candidates(space: dict[str, list], n: int, seed: int) -> Iterator[dict]:

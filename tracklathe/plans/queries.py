@@ -217,7 +217,7 @@ def ensemble_mean(spark, sf_dir):
 def ordinal_encode(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     known = model.OrdinalEncoder(["c_mktsegment"]).fit(c.where("c_mktsegment <> 'BUILDING'"))
-    return known.transform(c).select("c_custkey", F.col("c_mktsegment").cast("int").alias("code"))
+    return known.transform(c).select("c_custkey", F.col("c_mktsegment_code").cast("int").alias("code"))
 
 
 def spline_smooth(spark, sf_dir):
