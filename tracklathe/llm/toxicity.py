@@ -28,7 +28,7 @@ TELLING = (0.015, 15.0)
 #: Copies of each toxic word with a letter put in, learned beside it; together they weigh as much as the word.
 ALTERED = 6
 #: An error on a clean document weighs this much against one on a toxic document.
-CAUTION = 3.0
+CAUTION = 5.0
 #: Weight of toxic documents with a letter put into their worst word against those as they are, where the threshold is set.
 DODGED = 0.25
 #: Where in the gap between clean and toxic the threshold lies: nearer to clean, as altered insults score less than plain ones.
@@ -94,7 +94,9 @@ def dense(words: list[str]) -> np.ndarray:
     for word, index, weight in subsequences(codes, lengths):
         at, count = np.unique(word * size + index, return_counts=True)
         out[at] += np.float32(weight) * count.astype(np.float32)
-    return out.reshape(len(words), size) * scale(lengths)[:, None].astype(np.float32)
+    out = out.reshape(len(words), size)
+    out *= scale(lengths)[:, None].astype(np.float32)
+    return out
 
 
 def apply(theta: np.ndarray, bias: float, words: list[str]) -> np.ndarray:
@@ -155,15 +157,18 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     labels = np.asarray(labels)
     rng = np.random.default_rng(seed)
     part = rng.permutation(len(texts)) % 3
-    bags = [sorted({w for s in SENTENCE.split(t) for w in tokens(s)}) for t in texts]
-    vocabulary = sorted(set().union(*bags))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    ids = [np.array([place[w] for w in bag], np.int64) for bag in bags]
+    place: dict[str, int] = {}
+    ids = []
+    for t in texts:
+        bag = sorted({w for s in SENTENCE.split(t) for w in tokens(s)})
+        ids.append(np.array([place.setdefault(w, len(place)) for w in bag], np.int32))
+    vocabulary = list(place)
+    del place
     first = originals(ids, len(vocabulary), rng)
     train = np.flatnonzero((part > 0) & first)
     bad = [i for i in train if labels[i] == 1 and len(ids[i])]
     good = [i for i in train if labels[i] == 0 and len(ids[i])]
-    count = lambda docs: np.bincount(np.concatenate([ids[i] for i in docs] or [np.zeros(0, np.int64)]), minlength=len(vocabulary))
+    count = lambda docs: np.bincount(np.concatenate([ids[i] for i in docs] or [np.zeros(0, np.int32)]), minlength=len(vocabulary))
     in_bad, in_good = count(bad), count(good)
     score = np.log((in_bad + 0.3) / (len(bad) + 1)) - np.log((in_good + 0.3) / (len(good) + 1))
     score = np.where(in_bad >= 2, score * np.sqrt(in_bad), 0.0)
@@ -191,10 +196,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         altered = [(alter(words[k], rng), cost[k] / ALTERED) for k in range(len(positive)) for _ in range(ALTERED) if len(words[k]) >= 5]
         words += [a for a, _ in altered]
         y, cost = np.concatenate([y, np.ones(len(altered))]), np.concatenate([cost, [c for _, c in altered]])
-        z = np.concatenate([dense(words[k : k + 512]) @ marks.T for k in range(0, len(words), 512)]).astype(np.float64) @ root
+        z = np.concatenate([dense(words[k : k + 256]) @ marks.T for k in range(0, len(words), 256)]).astype(np.float64) @ root
         w, bias = svm(z, y, cost, PENALTY)
         theta = (root @ w) @ marks
-        score = np.concatenate([apply(theta, bias, vocabulary[k : k + 100_000]) for k in range(0, len(vocabulary), 100_000)])
+        score = np.concatenate([apply(theta, bias, vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
     held = [i for i in np.flatnonzero(part == 0) if len(ids[i])] or [i for i in range(len(texts)) if len(ids[i])]
     worst = np.array([score[ids[i]].max() for i in held])
     told = [vocabulary[ids[i][np.argmax(score[ids[i]])]] for i in held if labels[i] == 1]
@@ -215,7 +220,7 @@ def originals(ids: list[np.ndarray], size: int, rng: np.random.Generator) -> np.
 
     Copies agree in one of six keys, each the least of three random orders of a document's words.
     """
-    orders = [[rng.permutation(size) for _ in range(3)] for _ in range(6)]
+    orders = [[rng.permutation(np.arange(size, dtype=np.int32)) for _ in range(3)] for _ in range(6)]
     seen: set[tuple] = set()
     out = np.ones(len(ids), bool)
     for i, words in enumerate(ids):
