@@ -83,9 +83,12 @@ class Model:
 
 def fit(texts: list[str], labels: np.ndarray, terms: int = TERMS, rank: int = RANK, seed: int = SEED) -> Model:
     """Latent-semantic space of the labelled texts: randomised singular vectors of their tf-idf rows of unit length."""
-    counts = np.concatenate([term_counts(pa.array(texts[i : i + BLOCK], pa.string()), terms) for i in range(0, len(texts), BLOCK)])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-    x = unit(counts * idf)
+    x = np.empty((len(texts), terms + 1), np.float32)
+    for i in range(0, len(texts), BLOCK):
+        x[i : i + BLOCK] = term_counts(pa.array(texts[i : i + BLOCK], pa.string()), terms)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
     rank = min(rank, *x.shape)
     q = rng.standard_normal((x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)

@@ -220,13 +220,16 @@ def originals(ids: list[np.ndarray], size: int, rng: np.random.Generator) -> np.
 
     Copies agree in one of six keys, each the least of three random orders of a document's words.
     """
-    orders = [[rng.permutation(np.arange(size, dtype=np.int32)) for _ in range(3)] for _ in range(6)]
+    keys = []
+    for _ in range(6):
+        three = [rng.permutation(np.arange(size, dtype=np.int32)) for _ in range(3)]
+        keys.append([tuple(int(o[words].min()) for o in three) if len(words) else None for words in ids])
     seen: set[tuple] = set()
     out = np.ones(len(ids), bool)
     for i, words in enumerate(ids):
-        keys = [(k, *(int(o[words].min()) for o in three)) for k, three in enumerate(orders)] if len(words) else []
-        out[i] = not seen.intersection(keys)
-        seen.update(keys)
+        own = [(k, key[i]) for k, key in enumerate(keys)] if len(words) else []
+        out[i] = not seen.intersection(own)
+        seen.update(own)
     return out
 
 
