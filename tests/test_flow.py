@@ -32,7 +32,7 @@ def tables(spark):
     raw = spark.createDataFrame(points, "flight_id long, icao24 long, timestamp timestamp, latitude double, longitude double, altitude double, groundspeed double, track double, vertical_rate double, u_component_of_wind double, v_component_of_wind double, temperature double, specific_humidity double")
     airports = spark.createDataFrame([("AAAA", 50.0, 0.0, 30.0, "Europe/Paris"), ("BBBB", 55.0, 0.0, 60.0, "UTC")], "icao_code string, latitude_deg double, longitude_deg double, elevation_ft double, time_zone string")
     metars = spark.createDataFrame([("AAAA", at(5), 0.0, 50.0, "TS"), ("BBBB", at(70), 0.0, 55.0, None)], "station string, valid timestamp, lon double, lat double, wxcodes string")
-    metars = metars.withColumns({c: F.lit(1.0) for c in ("mslp", "tmpf", "drct", "sknt", "gust", "vsby", "skyl1", "skyl2", "skyl3", "skyl4", "alti", "relh")} | {c: F.lit("x") for c in ("skyc1", "skyc2", "skyc3", "skyc4")})
+    metars = metars.withColumns({c: F.lit(1.0) for c in "alti drct gust mslp relh sknt skyl1 skyl2 skyl3 skyl4 tmpf vsby".split()} | {c: F.lit("x") for c in "skyc1 skyc2 skyc3 skyc4".split()})
     smoothed = flow.clean_trajectories(raw)
     return raw, smoothed, flow.Tables(readers.with_date_parts(flights), airports, metars, smoothed)
 

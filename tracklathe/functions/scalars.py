@@ -20,7 +20,7 @@ TO_SI = {
     **dict.fromkeys(("longitude", "latitude", "track", "track_unwrapped"), math.pi / 180),
     "altitude": FOOT,
     "vertical_rate": FOOT / 60,
-    **dict.fromkeys(("groundspeed", "gsx", "gsy", "tasx", "tasy", "tas"), KNOT),
+    **dict.fromkeys("groundspeed gsx gsy tas tasx tasy".split(), KNOT),
 }
 
 

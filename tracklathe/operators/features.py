@@ -46,7 +46,7 @@ def all_categorical(df: DataFrame) -> FeatureSet:
     return FeatureSet(df, categorical=others(df))
 
 
-PORT = ("drct", "tmpf", "sknt", "elevation_ft", "vsby", "latitude_deg", "longitude_deg")
+PORT = tuple("drct elevation_ft latitude_deg longitude_deg sknt tmpf vsby".split())
 
 
 def flight_features(flights: DataFrame, airports: DataFrame, weather: DataFrame, distance: Callable[..., Column] = great_circle_nm) -> FeatureSet:
@@ -58,8 +58,8 @@ def flight_features(flights: DataFrame, airports: DataFrame, weather: DataFrame,
     df = df.withColumn("bird_distance", distance(*[F.col(f"{c}_{end}") for end in ("adep", "ades") for c in ("latitude_deg", "longitude_deg")]))
     return FeatureSet(
         df,
-        ["adep", "ades", "airline", "aircraft_type", "wtc", "country_code_ades", "country_code_adep", "dayofweek"],
-        ["flight_duration", "taxiout_time", "flown_distance", "bird_distance"],
+        "adep ades aircraft_type airline country_code_adep country_code_ades dayofweek wtc".split(),
+        "bird_distance flight_duration flown_distance taxiout_time".split(),
         ["local_hour_ades", "local_hour_adep", "weekofyear", *[f"{v}_{end}" for end in ("ades", "adep") for v in PORT]],
     )
 

@@ -13,8 +13,8 @@ from tracklathe.operators.sequence import GAP, KEY, TIME, fill, hole_width, unwr
 
 #: Smoothness; a tenth of it for speeds, wind and vertical rate.
 SMOOTH = 1e-2
-TENTH = ("groundspeed", "gsx", "gsy", "tasx", "tasy", "tas", "wind", "u_component_of_wind", "v_component_of_wind", "vertical_rate")
-SMOOTHED = ("latitude", "longitude", "altitude", "track_unwrapped", "temperature", "specific_humidity", *TENTH)
+TENTH = tuple("groundspeed gsx gsy tas tasx tasy u_component_of_wind v_component_of_wind vertical_rate wind".split())
+SMOOTHED = (*"altitude latitude longitude specific_humidity temperature track_unwrapped".split(), *TENTH)
 
 
 def banded_solve(main: np.ndarray, one: np.ndarray, two: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tracklathe.functions.scalars import feature_token
 from tracklathe.operators.spatial import nearest, scaled, within_radius
 
-VARIABLES = ("mslp", "tmpf", "drct", "sknt", "gust", "wxcodes", "vsby", "skyl1", "skyl2", "skyl3", "skyl4", "skyc1", "skyc2", "skyc3", "skyc4", "alti", "relh")
-CODES = ("TS", "+TS", "VCTS", "+VCTS", "FG")
+VARIABLES = tuple("alti drct gust mslp relh sknt skyc1 skyc2 skyc3 skyc4 skyl1 skyl2 skyl3 skyl4 tmpf vsby wxcodes".split())
+CODES = tuple("FG TS +TS VCTS +VCTS".split())
 RADII = (1, 2, 3, 4, 5, 6)
 GEO_SCALE, HOUR_SCALE = 1.0, 1.0
 

@@ -126,7 +126,7 @@ def local_time_parts(spark, sf_dir):
 def unit_convert(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") * 7).alias("track"), (F.col("l_extendedprice") / 100).alias("groundspeed"), (F.col("l_discount") * 100).alias("u_component_of_wind"), (F.col("l_tax") * 100).alias("v_component_of_wind"), (F.col("l_extendedprice") / 3).alias("altitude"))
     out = s.from_si(s.velocities(s.to_si(line)))
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(c, 4).alias(c) for c in ("gsx", "gsy", "tasx", "tasy", "tas", "wind", "altitude")])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(c, 4).alias(c) for c in "altitude gsx gsy tas tasx tasy wind".split()])
 
 
 def wind_projection_mean(spark, sf_dir):

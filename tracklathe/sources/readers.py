@@ -15,20 +15,20 @@ from pyspark.sql import types as T
 from tracklathe.functions.scalars import cast_columns, iso_day, iso_week, minute_of_day, nan_to_null, to_si
 
 FLIGHTS = {
-    **dict.fromkeys(("callsign", "adep", "name_adep", "country_code_adep", "ades", "name_ades", "country_code_ades", "aircraft_type", "wtc", "airline"), "string"),
-    **dict.fromkeys(("flight_duration", "taxiout_time", "flown_distance", "tow"), "double"),
+    **dict.fromkeys("adep ades aircraft_type airline callsign country_code_adep country_code_ades name_adep name_ades wtc".split(), "string"),
+    **dict.fromkeys("flight_duration flown_distance taxiout_time tow".split(), "double"),
     "flight_id": "long",
-    **dict.fromkeys(("date", "actual_offblock_time", "arrival_time"), "timestamp"),
+    **dict.fromkeys("actual_offblock_time arrival_time date".split(), "timestamp"),
 }
 METARS = {
     "station": "string",
     "valid": "timestamp",
-    **dict.fromkeys(("lon", "lat", "elevation", "tmpf", "dwpf", "relh", "drct", "sknt", "p01i", "alti", "mslp", "vsby", "gust", "skyl1", "skyl2", "skyl3", "skyl4", "feel"), "double"),
-    **dict.fromkeys(("skyc1", "skyc2", "skyc3", "skyc4", "wxcodes", "metar"), "string"),
+    **dict.fromkeys("alti drct dwpf elevation feel gust lat lon mslp p01i relh sknt skyl1 skyl2 skyl3 skyl4 tmpf vsby".split(), "double"),
+    **dict.fromkeys("metar skyc1 skyc2 skyc3 skyc4 wxcodes".split(), "string"),
 }
 MASSES = {
     "aircraft_type": "string",
-    **dict.fromkeys(("mtow", "mlw", "oew", "mfc", "vmo", "mmo", "ceiling"), "double"),
+    **dict.fromkeys("ceiling mfc mlw mmo mtow oew vmo".split(), "double"),
     "source": "string",
     "range": "double",
 }
@@ -67,7 +67,7 @@ def metars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def airports_csv(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(cast_columns(csv(spark, path), dict.fromkeys(("latitude_deg", "longitude_deg", "elevation_ft"), "double")))
+    return nan_to_null(cast_columns(csv(spark, path), dict.fromkeys("elevation_ft latitude_deg longitude_deg".split(), "double")))
 
 
 def aircraft_masses(spark: SparkSession, path: str) -> DataFrame:
