@@ -1,3 +1,5 @@
+import random
+
 from tracklathe.llm import licenses as lic
 
 FILLER = "\n".join(f"plain line {i} about nothing in particular" for i in range(300))
@@ -41,6 +43,16 @@ def test_long_lines(make):
     assert rows and {r["license"] for r in rows} == {"MIT"}
 
 
+def test_short_notices_in_prose():
+    rng = random.Random(0)
+    templates = tuple(lic.TEMPLATES)
+    for n in (40, 200, 2000):
+        for name, notice in templates:
+            own = ["".join(rng.choice("ba ke li mo nu ra se ti vo wen dor".split()) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+            text = " ".join([*own[: n // 3], notice, *own[n // 3 :]])
+            assert (text.index(notice), name) in [(r[0], r[1]) for r in lic.found(text, templates) if r[-1]]
+
+
 def test_odd_rows(odd, none, make):
     assert lic.scan(odd).count() == 0 and lic.scan(none).count() == 0
     twice = make([(None, "Released under the MIT License.", None, None, None)] * 2)

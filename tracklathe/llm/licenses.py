@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,16 +42,16 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: A line is a candidate if it has one of these, in any case.
 CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "cc by", "cc0", "free software")
-#: Characters of one block: a longer line is read in blocks of this length that overlap by half.
-BLOCK = 4000
-#: Least share of a block's compressed size that its best template must save.
+#: Least share of its window's compressed size that a template must save.
 SAVING = 0.15
 #: Least share of the template's words that must stand in the block in order.
 WORDING = 0.9
 LEVEL = 19
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+BLANK = re.compile(r"\n[ \t\r]*(?=\n)")
 #: Words that tell licenses apart: none may be missing from the block, and none may be added within the wording.
 TELLING = frozenset("mit apache bsd gnu gpl lgpl agpl lesser affero general library mozilla cc cc0 by by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution noncommercial sharealike noderivatives not".split())
+CUE = re.compile("(?=(" + "|".join(map(re.escape, CUES)) + "))", re.IGNORECASE)
 SCHEMA = "doc_id long, block_start long, license string, template int, saving double, wording double, missing array<string>, added array<string>, confirmed boolean"
 
 
@@ -57,50 +59,42 @@ def words(text: str) -> list[str]:
     return [w.strip(".-") for w in WORD.findall(text.lower())]
 
 
+def anchors(text: str, starts: list[int]) -> list[tuple[str, int]]:
+    """Each cue in the text, and the place of the word that it begins in."""
+    return [(m[1].lower(), max(bisect.bisect_right(starts, m.start()) - 1, 0)) for m in CUE.finditer(text)] if starts else []
+
+
+def normal(own: list[str]) -> bytes:
+    return " ".join(own).encode("utf-8", "replace")
+
+
 @lru_cache(4)
 def machines(templates: tuple[tuple[str, str], ...]) -> tuple:
-    """A compressor without and one with each template as raw dictionary, and the templates' words."""
+    """A compressor without and one with each template as raw dictionary, the templates' words, and their cues."""
     plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    having = []
-    for _, text in templates:
-        raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    having, texts = [], [words(t) for _, t in templates]
+    for own in texts:
+        raw = zstandard.ZstdCompressionDict(normal(own), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         having.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False))
-    return plain, having, [words(t) for _, t in templates]
+    return plain, having, texts, [anchors(t, [m.start() for m in WORD.finditer(t)]) for _, t in templates]
 
 
-def has_cue(text: str) -> bool:
-    low = text.lower()
-    return any(c in low for c in CUES)
+def blocks(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of the runs of lines without a blank one between that have a cue; wordings may be wrapped in them."""
+    at = 0
+    for gap in [*BLANK.finditer(text), None]:
+        end = gap.start() if gap else len(text)
+        if CUE.search(text, at, end):
+            yield at, text[at:end]
+        at = gap.end() if gap else end
 
 
-def blocks(text: str, reach: int, block: int = BLOCK) -> Iterator[tuple[int, str, str]]:
-    """Start, text and wider text of the candidate blocks.
-
-    A block is a line with a cue; the wider text goes on with the lines after it, up to a blank one or ``reach``
-    characters, as wordings are wrapped. A longer line is read in blocks that overlap by half.
-    """
-    lines = text.split("\n")
-    start = 0
-    for k, line in enumerate(lines):
-        if has_cue(line):
-            end, more = start + len(line), k + 1
-            while end - start < reach and more < len(lines) and lines[more].strip():
-                end += 1 + len(lines[more])
-                more += 1
-            wide = text[start : min(end, start + max(reach, len(line)))]
-            for j in range(0, max(len(line) - block // 2, 1), block // 2):
-                piece = line[j : j + block]
-                if has_cue(piece):
-                    yield start + j, piece, wide if len(line) <= block else piece
-        start += len(line) + 1
-
-
-def compare(template: list[str], block: list[str]) -> tuple[float, list[str], list[str]]:
-    """Share of the template's words that stand in the block in order; words missing; words added within the wording."""
+def compare(template: list[str], block: list[str]) -> tuple[float, list[str], list[str], list[int]]:
+    """Share of the template's words that stand in the block in order; words missing; words added within the wording; places matched."""
     match = difflib.SequenceMatcher(None, template, block, autojunk=False)
     runs = [m for m in match.get_matching_blocks() if m.size]
     if not runs:
-        return 0.0, template, []
+        return 0.0, template, [], []
     missing, added, t, b = [], [], 0, runs[0].b
     for m in runs:
         missing += template[t : m.a]
@@ -109,51 +103,90 @@ def compare(template: list[str], block: list[str]) -> tuple[float, list[str], li
     tail = template[t:]
     missing += tail
     added += block[b : b + len(tail)]  # what stands in place of the end
-    return 1 - len(missing) / len(template), missing, added
+    return 1 - len(missing) / len(template), missing, added, [j for m in runs for j in range(m.b, m.b + m.size)]
+
+
+def windows(own: list[str], cues: list[tuple[str, int]], texts: list[list[str]], marks: list[list[tuple[str, int]]]) -> Iterator[tuple[int, int, int, int]]:
+    """Template, first and last-plus-one word of the window that its cue puts it in, and the words that it may reach beyond."""
+    seen = set()
+    for cue, i in cues:
+        for k, text in enumerate(texts):
+            n = len(text)
+            same = [j for c, j in marks[k] if c == cue]
+            for lo, hi in [(i - j, i - j + n) for j in same] if marks[k] else [(i - n, i + n)]:
+                if n and (k, lo) not in seen:
+                    seen.add((k, lo))
+                    yield k, lo, hi, n // 2 + 2
+
+
+def placed(block: str, templates: tuple[tuple[str, str], ...]) -> list[tuple]:
+    """Start and row of each wording in the block.
+
+    A template is compared, by words and by compression, with windows of its own length around each cue that it has,
+    narrow ones first, so the text around doesn't count.
+    """
+    plain, having, texts, marks = machines(templates)
+    spans = list(WORD.finditer(block))
+    own = [m[0].lower().strip(".-") for m in spans]
+    sure, unsure = [], []
+
+    def saved(k: int, lo: int, hi: int) -> tuple[int, float]:
+        raw = normal(own[lo:hi])
+        size = len(plain.compress(raw))
+        less = size - len(having[k].compress(raw))
+        return less, less / size
+
+    for k, lo, hi, reach in windows(own, anchors(block, [m.start() for m in spans]), texts, marks):
+        for more in (len(texts[k]) // 10 + 1, reach):
+            first, last = max(lo - more, 0), hi + more
+            there = Counter(own[first:last])
+            if sum((there & Counter(texts[k])).values()) < WORDING * len(texts[k]):
+                continue
+            share, missing, added, at = compare(texts[k], own[first:last])
+            if share >= WORDING and not any(w in TELLING or any(c.isdigit() for c in w) for w in missing + added):
+                less, saving = saved(k, first + at[0], first + at[-1] + 1)
+                if saving >= SAVING:
+                    sure.append((-less, k, first + at[0], (templates[k][0], k, round(saving, 6), round(share, 6), missing, added, True), frozenset(first + j for j in at)))
+                    break
+        else:
+            less, saving = saved(k, max(lo, 0), hi)
+            if saving >= SAVING:
+                unsure.append((-less, k, max(lo, 0), min(hi, len(own)), reach, saving))
+    rows, taken = [], set()
+    for _, _, first, row, at in sorted(sure, key=lambda x: x[:3]):
+        lines = {~block.count("\n", 0, spans[j].start()) for j in at}
+        if taken.isdisjoint(lines):
+            taken |= at | lines
+            rows.append((spans[first].start(), row))
+    for _, k, lo, hi, reach, saving in sorted(unsure):
+        near = range(max(lo - reach, 0), hi + reach)
+        if taken.isdisjoint(near):
+            taken.update(near)
+            share, missing, added, _ = compare(texts[k], own[near.start : near.stop])
+            rows.append((spans[lo].start(), (templates[k][0], k, round(saving, 6), round(share, 6), missing, added, False)))
+    return sorted(rows, key=lambda x: (x[0], x[1][1]))
 
 
 def examine(block: str, templates: tuple[tuple[str, str], ...]) -> list[tuple]:
-    """The templates that save enough, by saving, up to the first whose wording is confirmed; of none, the best alone."""
-    plain, having, texts = machines(templates)
-    raw = block.encode("utf-8", "replace")
-    size = len(plain.compress(raw))
-    ranked = sorted(((1 - len(m.compress(raw)) / size, -k) for k, m in enumerate(having)), reverse=True)
-    own, best = words(block), None
-    for saving, k in ranked:
-        if saving < SAVING:
-            break
-        share, missing, added = compare(texts[-k], own)
-        ok = share >= WORDING and not any(w in TELLING or any(c.isdigit() for c in w) for w in missing + added)
-        row = (templates[-k][0], -k, round(saving, 6), round(share, 6), missing, added, ok)
-        if ok:
-            return [row]
-        best = best or row
-    return [best] if best else []
+    return [row for _, row in placed(block, templates)]
 
 
 def found(text: str, templates: tuple[tuple[str, str], ...]) -> Iterator[tuple]:
-    """Rows for one text. A line confirmed alone stands; else its wider text is tried, and covers the lines in it."""
-    reach = max((len(t) * 3 // 2 for _, t in templates), default=0)
-    covered = -1
-    for at, line, wide in blocks(text, reach):
-        if at < covered:
-            continue
-        rows = examine(line, templates)
-        if wide != line and not any(r[-1] for r in rows):
-            wider = examine(wide, templates)
-            if any(r[-1] for r in wider):
-                rows, covered = wider, at + len(wide)
-        yield from ((at, *r) for r in rows)
+    """Rows for one text."""
+    for start, block in blocks(text):
+        yield from ((start + at, *row) for at, row in placed(block, templates))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Blocks of documents that compress better given a license's wording: a row for each, best template.
-
-    Columns: doc_id, block_start (character at which the block begins), license and template (place in the list),
-    saving (share of the compressed size that the template as raw dictionary saves), wording (share of the template's
-    words that the block has in order), missing and added words, confirmed. Templates are ranked by saving; the first
-    whose wording holds, with no telling word (names, versions, "not") missing or added, is confirmed; if none is, the
-    one that saves most is given unconfirmed. Ties in saving go to the earlier template.
+    """Places of documents that have a license's wording: a row for each, best template of a line.
+
+    Columns: doc_id, block_start (character at which the wording, or the window compared, begins), license and template
+    (place in the list), saving (share of the compressed size of the wording's own place, in lower-case words, that the
+    template as raw dictionary saves), wording (share of the template's words that stand there in order), missing and
+    added words, confirmed. A wording is confirmed if it holds with no telling word (names, versions, "not") missing or
+    added. Of several in a
+    line, the one that saves most bytes is given. Where none is confirmed, the template that saves most is given unconfirmed. Ties in saving
+    go to the earlier template.
 
     Whole texts are read, in one pass without a shuffle; JVM-side substring tests spare Python the texts without cues.
 
