@@ -53,6 +53,15 @@ def test_short_notices_in_prose():
             assert (text.index(notice), name) in [(r[0], r[1]) for r in lic.found(text, templates) if r[-1]]
 
 
+def test_every_notice_gives_a_row():
+    templates = tuple(lic.TEMPLATES)
+    rows = lambda t: [(r[0], r[1]) for r in lic.found(t, templates) if r[-1]]
+    both = "Licensed under the MIT License. Licensed under CC BY 4.0."
+    assert rows(both) == [(0, "MIT"), (32, "CC-BY-4.0")]
+    wrapped = templates[4][1].replace(" you", "\n# you")
+    assert rows(wrapped + "\nReleased under the MIT License.") == [(0, "Apache-2.0"), (len(wrapped) + 1, "MIT")]
+
+
 def test_odd_rows(odd, none, make):
     assert lic.scan(odd).count() == 0 and lic.scan(none).count() == 0
     twice = make([(None, "Released under the MIT License.", None, None, None)] * 2)

@@ -154,9 +154,8 @@ def placed(block: str, templates: tuple[tuple[str, str], ...]) -> list[tuple]:
                 unsure.append((-less, k, max(lo, 0), min(hi, len(own)), reach, saving))
     rows, taken = [], set()
     for _, _, first, row, at in sorted(sure, key=lambda x: x[:3]):
-        lines = {~block.count("\n", 0, spans[j].start()) for j in at}
-        if taken.isdisjoint(lines):
-            taken |= at | lines
+        if taken.isdisjoint(at):
+            taken |= at
             rows.append((spans[first].start(), row))
     for _, k, lo, hi, reach, saving in sorted(unsure):
         near = range(max(lo - reach, 0), hi + reach)
@@ -178,14 +177,14 @@ def found(text: str, templates: tuple[tuple[str, str], ...]) -> Iterator[tuple]:
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Places of documents that have a license's wording: a row for each, best template of a line.
+    """Places of documents that have a license's wording: a row for each place.
 
     Columns: doc_id, block_start (character at which the wording, or the window compared, begins), license and template
     (place in the list), saving (share of the compressed size of the wording's own place, in lower-case words, that the
     template as raw dictionary saves), wording (share of the template's words that stand there in order), missing and
     added words, confirmed. A wording is confirmed if it holds with no telling word (names, versions, "not") missing or
-    added. Of several in a
-    line, the one that saves most bytes is given. Where none is confirmed, the template that saves most is given unconfirmed. Ties in saving
+    added. Each wording
+    takes only the words that it matched; of those that share words, the one that saves most bytes is given. Where none is confirmed, the template that saves most is given unconfirmed. Ties in saving
     go to the earlier template.
 
     Whole texts are read, in one pass without a shuffle; JVM-side substring tests spare Python the texts without cues.
