@@ -33,6 +33,20 @@ def test_kernel_is_the_sum_over_subsequences():
     assert np.allclose(tox.apply(theta, 0.1, words), wanted, atol=1e-4)
 
 
+@pytest.mark.parametrize("first, count", [(0x431, 30), (0x3B2, 22), (0x628, 28), (0x4E00, 3000)])
+def test_words_of_other_scripts_differ(first, count):
+    rng = np.random.default_rng(5)
+    letters = [chr(first + k) for k in range(count) if chr(first + k).isalpha()]
+    made = tox.dense(["".join(rng.choice(letters, 8)) for _ in range(40)])
+    apart = (made @ made.T)[np.triu_indices(40, 1)]
+    assert apart.mean() < 0.02 and apart.max() < 0.6
+
+
+def test_accents_and_look_alikes_are_folded():
+    made = tox.dense(["idiot", "ïdîöt", "іdіоt", "ｉｄｉｏｔ"])
+    assert all(np.allclose(row, made[0], atol=1e-6) for row in made)
+
+
 SYLLABLES = "the and of ing tion er ed re st en or ti ha nd wh".split()
 INSULTS = ["idiot", "moron", "scumbag", "worthless", "pathetic"]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,12 @@ PLACE = 0.35
 ROUNDS = 4
 SEED = 11
 
+#: Symbols of a to z, whose triples have places of their own in the table of weights, and places for the hashed triples with other letters.
 SYMBOLS = 32
+HASHED = 1 << 20
+SIZE = SYMBOLS**3 + HASHED
+#: Letters that look like others, or are written for them.
+ALIKE = dict(zip("аеорсухіјѕһԁԛԝοαινρκυχıłøđðɑɡ", "aeopcyxijshdqwoaivpkuxiloddag")) | {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SENTENCE = re.compile(r"[.!?]+\s|\n+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
@@ -44,14 +50,23 @@ GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
 
 
 class Alphabet(dict):
-    """str.translate table: letters to 1..26, digits to the letters they stand for, other letters to 27..31, the rest dropped."""
+    """str.translate table: letters to 1..26, digits to the letters they stand for, the rest but letters dropped.
+
+    Accents are dropped and look-alikes folded to the letters they look like; every other letter is its own symbol.
+    """
 
     def __missing__(self, code: int):
-        c = DIGITS.get(chr(code), chr(code))
-        self[code] = chr(ord(c) - 96) if "a" <= c <= "z" else chr(27 + code % 5) if c.isalpha() else None
+        plain = unicodedata.normalize("NFKD", DIGITS.get(chr(code), chr(code))).lower()
+        folded = "".join(ALIKE.get(c, c) for c in plain)
+        self[code] = "".join(chr(ord(c) - 96) if "a" <= c <= "z" else c for c in folded if c.isalpha() or signs_vowel(c)) or None
         return self[code]
 
 
+def signs_vowel(c: str) -> bool:
+    """Marks that spell a sound, as in Indic scripts, and not an accent."""
+    return (0x900 <= ord(c) < 0x1B00 or c in "\u3099\u309a") and unicodedata.category(c)[0] == "M"
+
+
 ALPHABET = Alphabet()
 
 
@@ -67,7 +82,7 @@ def tokens(text: str) -> list[str]:
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words in a row, and the length of each."""
     coded = [w.translate(ALPHABET) for w in words]
-    return np.frombuffer("".join(coded).encode("latin1"), np.uint8).astype(np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.frombuffer("".join(coded).encode("utf-32-le", "replace"), np.uint32).astype(np.int64), np.fromiter(map(len, coded), np.int64, len(coded))
 
 
 def scale(lengths: np.ndarray) -> np.ndarray:
@@ -77,21 +92,42 @@ def scale(lengths: np.ndarray) -> np.ndarray:
     return np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1e-12)), 0.0)[lengths]
 
 
+def places(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Place of each triple of symbols in the table of weights."""
+    at = (x * SYMBOLS + y) * SYMBOLS + z
+    other = np.flatnonzero((x | y | z) >= SYMBOLS)
+    if len(other):
+        x, y, z = (v[other].astype(np.uint64) for v in (x, y, z))
+        h = x * np.uint64(0x9E3779B97F4A7C15) + y * np.uint64(0xC2B2AE3D27D4EB4F) + z * np.uint64(0x165667B19E3779F9)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        at[other] = SYMBOLS**3 + (h >> np.uint64(44)).astype(np.int64)
+    return at
+
+
 def subsequences(codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pair of gaps: the word, the index of the three symbols, and the weight, of every subsequence."""
+    """For each pair of gaps: the word, the place of the three symbols, and the weight, of every subsequence."""
     word = np.repeat(np.arange(len(lengths)), lengths)
     for a, b in GAPS:
         if len(codes) > a + b:
             m = np.flatnonzero(word[: -a - b] == word[a + b :])
-            yield word[m], (codes[m] * SYMBOLS + codes[m + a]) * SYMBOLS + codes[m + a + b], DECAY ** (a + b - 2)
+            yield word[m], places(codes[m], codes[m + a], codes[m + a + b]), DECAY ** (a + b - 2)
+
+
+def used(words: list[str]) -> np.ndarray:
+    """Places in the table of weights that the words' subsequences have."""
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *[index for _, index, _ in subsequences(*encode(words))]]))
 
 
-def dense(words: list[str]) -> np.ndarray:
-    """Normalised weights of all subsequences, a row for each word. Their products are the string kernel."""
+def dense(words: list[str], columns: np.ndarray | None = None) -> np.ndarray:
+    """Normalised weights of all subsequences, or those with places in ``columns``, a row for each word. Their products are the string kernel."""
     codes, lengths = encode(words)
-    size = SYMBOLS**3
+    size = SIZE if columns is None else len(columns)
     out = np.zeros(len(words) * size, np.float32)
     for word, index, weight in subsequences(codes, lengths):
+        if columns is not None:
+            at = np.minimum(np.searchsorted(columns, index), size - 1)
+            known = columns[at] == index if size else np.zeros(len(index), bool)
+            word, index = word[known], at[known]
         at, count = np.unique(word * size + index, return_counts=True)
         out[at] += np.float32(weight) * count.astype(np.float32)
     out = out.reshape(len(words), size)
@@ -175,11 +211,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     telling = np.flatnonzero((in_bad >= max(3, TELLING[0] * len(bad))) & (in_bad * len(good) >= TELLING[1] * (in_good + 0.3) * len(bad)))
     top = np.argsort(-score, kind="stable")[: LANDMARKS[0]]
     chosen = np.unique(np.concatenate([top[score[top] > 0], rng.choice(len(vocabulary), min(LANDMARKS[1], len(vocabulary)), replace=False)]))
-    marks = dense([vocabulary[i] for i in chosen])
+    columns = used([vocabulary[i] for i in chosen])
+    marks = dense([vocabulary[i] for i in chosen], columns)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])  # Nyström: kernel to landmarks times this
     active: Counter = Counter()
-    theta, bias = np.zeros(SYMBOLS**3), 0.0
+    theta, bias = np.zeros(SIZE), 0.0
     for turn in range(ROUNDS):
         positive = Counter(int(ids[i][np.argmax(score[ids[i]])]) for i in bad)
         positive.update({int(j): int(in_bad[j]) for j in telling})
@@ -196,9 +233,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         altered = [(alter(words[k], rng), cost[k] / ALTERED) for k in range(len(positive)) for _ in range(ALTERED) if len(words[k]) >= 5]
         words += [a for a, _ in altered]
         y, cost = np.concatenate([y, np.ones(len(altered))]), np.concatenate([cost, [c for _, c in altered]])
-        z = np.concatenate([dense(words[k : k + 256]) @ marks.T for k in range(0, len(words), 256)]).astype(np.float64) @ root
+        z = np.concatenate([dense(words[k : k + 256], columns) @ marks.T for k in range(0, len(words), 256)]).astype(np.float64) @ root
         w, bias = svm(z, y, cost, PENALTY)
-        theta = (root @ w) @ marks
+        theta[columns] = (root @ w) @ marks
         score = np.concatenate([apply(theta, bias, vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
     held = [i for i in np.flatnonzero(part == 0) if len(ids[i])] or [i for i in range(len(texts)) if len(ids[i])]
     worst = np.array([score[ids[i]].max() for i in held])
@@ -276,7 +313,7 @@ def detect(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
 
     The kernel of two words is the sum over all subsequences of three characters within a span of six, each skipped
     character costing a factor, so insults match with characters dropped, put in or set apart; punctuation is dropped,
-    digits read as letters, and letters set apart by spaces are joined. The machine, with landmarks by Nyström, is
+    digits, accented letters and look-alikes read as the letters they stand for, and letters set apart by spaces are joined. The machine, with landmarks by Nyström, is
     trained on the sentences of at most ``per_class`` labelled documents of each class, a documented bound, and folded
     into a weight for each subsequence. Whole texts are scored in one pass without a shuffle, each distinct word once
     in a task.
