@@ -83,6 +83,35 @@ def test_altered_insults(model):
     assert model.score([base], {})[0] < 0
 
 
+def test_insults_with_a_space_put_in(model):
+    base = "the and tion there ending whrest "
+    for phrase in ("mo ron", "id iot", "path etic", "scum bag"):
+        assert model.score([base + phrase], {})[0] > 0, phrase
+
+
+def test_phrases_of_ordinary_words():
+    rng = np.random.default_rng(6)
+    names = ["".join(rng.choice(SYLLABLES, 3)) for _ in range(600)]
+
+    def made(bad):
+        words = [str(w) for w in rng.choice(names, 60)]
+        words[5], words[25] = rng.permutation(["jump", "off"]).tolist()
+        return " ".join([*words[:40], "jump", "off", *words[40:]] if bad else words) + "."
+
+    labels = np.array([int(i % 3 == 0) for i in range(600)])
+    fitted = tox.fit([made(y) for y in labels[:450]], labels[:450])
+    caught = fitted.score([made(y) for y in labels[450:]], {}) > 0
+    assert caught[labels[450:] == 1].mean() >= 0.9 and caught[labels[450:] == 0].mean() <= 0.1
+
+
+def test_units_are_scored_as_words():
+    codes, first, last, owner = tox.units(["ab cde. Fg!", "", "m o r o n é"])
+    got = [(tox.spell(codes[a:b]), int(o)) for a, b, o in zip(first, last, owner)]
+    assert {("ab", 0), ("abcde", 0), ("fg", 0), ("morone", 2)} <= set(got) and ("cdefg", 0) not in got
+    theta = np.random.default_rng(7).normal(size=tox.SIZE)
+    assert np.allclose(tox.totals(theta, codes, first, last), tox.apply(theta, 0.0, [u for u, _ in got]))
+
+
 def test_rows(spark, odd, none, make):
     texts, labels = corpus(120, 3)
     rows = [(100 + i, t, "en", "a", len(t)) for i, t in enumerate(texts)]

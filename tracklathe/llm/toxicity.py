@@ -34,6 +34,12 @@ CAUTION = 5.0
 DODGED = 0.25
 #: Where in the gap between clean and toxic the threshold lies: nearer to clean, as altered insults score less than plain ones.
 PLACE = 0.35
+#: Adjacent words of a sentence that are also read as one, at most.
+WINDOW = 3
+#: Toxic documents that a phrase must be in to be learned as one.
+PHRASE = 3
+#: Characters of text scored at once.
+CHUNK = 1 << 18
 ROUNDS = 4
 SEED = 11
 
@@ -68,6 +74,19 @@ def signs_vowel(c: str) -> bool:
 
 
 ALPHABET = Alphabet()
+TEXT, LINE, STOP, SPACE = 28, 29, 30, 31
+
+
+class Marked(Alphabet):
+    """The same with white space, line ends and stops kept as symbols."""
+
+    def __missing__(self, code: int):
+        c = chr(code)
+        self[code] = chr(LINE if c == "\n" else STOP if c in ".!?" else SPACE) if c in ".!?" or c.isspace() else ALPHABET[code]
+        return self[code]
+
+
+MARKED = Marked()
 
 
 def tokens(text: str) -> list[str]:
@@ -144,6 +163,88 @@ def apply(theta: np.ndarray, bias: float, words: list[str]) -> np.ndarray:
     return total * scale(lengths) + bias
 
 
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts in a row, without spaces; first and last-plus-one symbol of each unit, and its text.
+
+    Units are the words, each two to WINDOW adjacent words of a sentence, and runs of four or more words of one letter.
+    """
+    marked = chr(TEXT).join(t.lower().translate(MARKED) for t in texts)
+    row = np.frombuffer(marked.encode("utf-32-le", "replace"), np.uint32)
+    space = (row == SPACE) | (row == LINE) | (row == TEXT)
+    ends = (row == LINE) | (row == TEXT)
+    ends[:-1] |= (row[:-1] == STOP) & space[1:]
+    letter = ~space & (row != STOP)
+    codes, word = row[letter].astype(np.int64), np.cumsum(space)[letter]
+    begin = np.flatnonzero(np.diff(word, prepend=-1))
+    end = np.append(begin[1:], len(codes))[: len(begin)]
+    sentence, text = np.cumsum(ends)[letter][begin], np.cumsum(row == TEXT)[letter][begin]
+    first, last, owner = [begin], [end], [text]
+    for n in range(2, WINDOW + 1):
+        m = np.flatnonzero(sentence[: 1 - n] == sentence[n - 1 :])
+        first, last, owner = [*first, begin[m]], [*last, end[m + n - 1]], [*owner, text[m]]
+    single = end - begin == 1
+    new = np.ones(len(begin), bool)
+    new[1:] = ~(single[1:] & single[:-1] & (sentence[1:] == sentence[:-1]))
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(begin))[: len(start)]
+    m = single[start] & (stop - start >= 4)
+    first, last, owner = [*first, begin[start[m]]], [*last, end[stop[m] - 1]], [*owner, text[start[m]]]
+    return codes, np.concatenate(first), np.concatenate(last), np.concatenate(owner)
+
+
+def totals(theta: np.ndarray, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """As apply() without bias, for units that may overlap: differences of running sums, one for each span."""
+    out = np.zeros(len(first))
+    for span in range(2, SPAN + 1):
+        n = len(codes) - span
+        if n <= 0:
+            break
+        sums = np.zeros(n)
+        for a in range(1, span):
+            sums += theta[places(codes[:n], codes[a : a + n], codes[span:])]
+        sums = np.concatenate([[0.0], np.cumsum(sums)]) * DECAY ** (span - 2)
+        out += sums[np.minimum(np.maximum(last - span, first), n)] - sums[np.minimum(first, n)]
+    return out * scale(last - first)
+
+
+def spell(codes: np.ndarray) -> str:
+    return "".join(chr(c + 96 if c < SYMBOLS else c) for c in codes.tolist())
+
+
+def worst_units(theta: np.ndarray, bias: float, text: str, top: int) -> tuple[list[str], float]:
+    """The units of a text with the highest values, and the highest."""
+    codes, first, last, _ = units([text])
+    if not len(first):
+        return [], bias
+    values = totals(theta, codes, first, last)
+    best = np.argsort(-values, kind="stable")[:top]
+    return [spell(codes[first[k] : last[k]]) for k in best], float(values[best[0]]) + bias
+
+
+def phrases(rows: list[np.ndarray], bad: list[int], good: list[int], words: np.ndarray) -> list[tuple[tuple[int, ...], float, int, int, np.ndarray]]:
+    """Adjacent words in PHRASE toxic documents that are tied to them more than any of the words: words, association, documents.
+
+    rows: for each document its words in order, -1 between sentences; words: their association.
+    """
+    out = []
+    for n in range(2, WINDOW + 1):
+
+        def keys(i: int, n: int = n) -> np.ndarray:
+            parts = [rows[i][k : len(rows[i]) - n + 1 + k] for k in range(n)]
+            key = sum(p << 21 * k for k, p in enumerate(parts))
+            return np.unique(key[np.min(parts, axis=0) >= 0]) if len(rows[i]) >= n else np.zeros(0, np.int64)
+
+        own = {i: keys(i) for i in bad}
+        known, count = np.unique(np.concatenate([np.zeros(0, np.int64), *own.values()]), return_counts=True)
+        known, count = known[count >= PHRASE], count[count >= PHRASE]
+        in_good = sum((np.isin(known, keys(i), assume_unique=True).astype(np.int64) for i in good), np.zeros(len(known), np.int64))
+        tie = (np.log((count + 0.3) / (len(bad) + 1)) - np.log((in_good + 0.3) / (len(good) + 1))) * np.sqrt(count)
+        parts = np.stack([known >> 21 * k & (1 << 21) - 1 for k in range(n)], 1)
+        for k in np.flatnonzero(tie > np.maximum(words[parts].max(1), 0)) if len(known) else []:
+            out.append((tuple(parts[k].tolist()), float(tie[k]), int(count[k]), int(in_good[k]), np.array([i for i in bad if known[k] in own[i]], np.int64)))
+    return out
+
+
 def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton's method; deterministic."""
     x = np.hstack([z, np.ones((len(z), 1))])
@@ -168,22 +269,27 @@ class Model:
     bias: float
     threshold: float
 
-    def words(self, words: list[str]) -> np.ndarray:
-        return apply(self.theta, self.bias, words)
-
-    def score(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        """Highest decision value of each text's words, less the threshold; NaN for texts without words."""
-        bags = [set(tokens(t)) if t else set() for t in texts]
-        new = list(set().union(*bags).difference(cache)) if bags else []
-        if len(cache) + len(new) > 400_000:  # the cache only saves time
-            cache.clear()
-            new = list(set().union(*bags))
-        cache.update(zip(new, self.words(new).tolist())) if new else None
-        return np.array([max(map(cache.__getitem__, bag)) - self.threshold if bag else np.nan for bag in bags])
+    def score(self, texts: list[str | None], cache: dict[str, float] | None = None) -> np.ndarray:
+        """Highest decision value of each text's units, less the threshold; NaN for blank texts."""
+        out = np.array([self.bias - self.threshold if t and not t.isspace() else np.nan for t in texts], np.float64)
+        full = np.flatnonzero(~np.isnan(out)).tolist()
+        while full:
+            size, k = 0, 0
+            while k < len(full) and (not k or size + len(texts[full[k]]) <= CHUNK):
+                size, k = size + len(texts[full[k]]), k + 1
+            now, full = np.array(full[:k]), full[k:]
+            codes, first, last, owner = units([texts[i] for i in now])
+            best = np.full(k, -np.inf)
+            np.maximum.at(best, owner, totals(self.theta, codes, first, last))
+            out[now] = np.where(np.isinf(best), 0.0, best) + self.bias - self.threshold
+        return out
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
-    """Latent machine over sentences: a sentence counts as its most telling word, a toxic document as its worst sentence.
+    """Latent machine over sentences: a sentence counts as its most telling unit, a toxic document as its worst sentence.
+
+    A unit is a word or up to WINDOW adjacent ones. In toxic documents, adjacent words are candidates if they are tied to
+    toxic documents more than each of them alone; in clean ones and for the threshold all of them count.
 
     The labels are of documents. Every sentence of a clean one is clean; of a toxic one, some sentence is toxic, and
     each round picks the one that the machine so far finds worst (at first by association). Clean sentences that score
@@ -194,10 +300,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     part = rng.permutation(len(texts)) % 3
     place: dict[str, int] = {}
-    ids = []
+    ids, rows = [], []
     for t in texts:
-        bag = sorted({w for s in SENTENCE.split(t) for w in tokens(s)})
+        sentences = SENTENCE.split(t)
+        bag = sorted({w for s in sentences for w in tokens(s)})
         ids.append(np.array([place.setdefault(w, len(place)) for w in bag], np.int32))
+        rows.append(np.array([j for s in sentences for j in [*map(place.get, s.lower().split()), -1]], np.int64))
     vocabulary = list(place)
     del place
     first = originals(ids, len(vocabulary), rng)
@@ -208,6 +316,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     in_bad, in_good = count(bad), count(good)
     score = np.log((in_bad + 0.3) / (len(bad) + 1)) - np.log((in_good + 0.3) / (len(good) + 1))
     score = np.where(in_bad >= 2, score * np.sqrt(in_bad), 0.0)
+    for parts, tie, n, m, docs in phrases(rows, bad, good, score) if len(vocabulary) < 1 << 21 else []:
+        for i in docs:
+            ids[i] = np.append(ids[i], np.int32(len(vocabulary)))
+        vocabulary.append("".join(vocabulary[j] for j in parts))
+        score, in_bad, in_good = np.append(score, tie), np.append(in_bad, n), np.append(in_good, m)
+    del rows
     telling = np.flatnonzero((in_bad >= max(3, TELLING[0] * len(bad))) & (in_bad * len(good) >= TELLING[1] * (in_good + 0.3) * len(bad)))
     top = np.argsort(-score, kind="stable")[: LANDMARKS[0]]
     chosen = np.unique(np.concatenate([top[score[top] > 0], rng.choice(len(vocabulary), min(LANDMARKS[1], len(vocabulary)), replace=False)]))
@@ -216,6 +330,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])  # Nyström: kernel to landmarks times this
     active: Counter = Counter()
+    hard: dict[str, None] = {}
     theta, bias = np.zeros(SIZE), 0.0
     for turn in range(ROUNDS):
         positive = Counter(int(ids[i][np.argmax(score[ids[i]])]) for i in bad)
@@ -224,12 +339,15 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         active.update(dict.fromkeys(negative.difference(positive), 1))
         for j in positive:
             active.pop(j, None)
-        rows = list(positive) + list(active)
-        y = np.array([1.0] * len(positive) + [-1.0] * len(active))
-        cost = np.array(list(positive.values()) + [max(1, int(in_good[j])) for j in active], np.float64)
+        if turn:
+            hard.update(dict.fromkeys(u for i in good for u in worst_units(theta, bias, texts[i], 3)[0]))
+        taken = {vocabulary[j].translate(ALPHABET) for j in [*positive, *active]}
+        more = [u for u in hard if u.translate(ALPHABET) not in taken]
+        y = np.array([1.0] * len(positive) + [-1.0] * (len(active) + len(more)))
+        cost = np.array(list(positive.values()) + [max(1, int(in_good[j])) for j in active] + [1] * len(more), np.float64)
         cost = np.minimum(cost, 50.0)
         cost = np.where(y > 0, cost / cost[y > 0].sum(), cost / cost[y < 0].sum()) * 100
-        words = [vocabulary[j] for j in rows]
+        words = [vocabulary[j] for j in [*positive, *active]] + more
         altered = [(alter(words[k], rng), cost[k] / ALTERED) for k in range(len(positive)) for _ in range(ALTERED) if len(words[k]) >= 5]
         words += [a for a, _ in altered]
         y, cost = np.concatenate([y, np.ones(len(altered))]), np.concatenate([cost, [c for _, c in altered]])
@@ -238,8 +356,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         theta[columns] = (root @ w) @ marks
         score = np.concatenate([apply(theta, bias, vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
     held = [i for i in np.flatnonzero(part == 0) if len(ids[i])] or [i for i in range(len(texts)) if len(ids[i])]
-    worst = np.array([score[ids[i]].max() for i in held])
-    told = [vocabulary[ids[i][np.argmax(score[ids[i]])]] for i in held if labels[i] == 1]
+    found = [worst_units(theta, bias, texts[i], 1) for i in held]
+    worst = np.array([value for _, value in found])
+    told = ["".join(unit) for i, (unit, _) in zip(held, found) if labels[i] == 1]
     dodged = apply(theta, bias, [alter(w, rng) for w in told if len(w) >= 5])
     weight = np.where(labels[held] == 1, (1 - DODGED) / max(len(told), 1), CAUTION / max(len(held) - len(told), 1))
     scores, truth = np.concatenate([worst, dodged]), np.concatenate([labels[held], np.ones(len(dodged), np.int64)])
@@ -296,9 +415,8 @@ def scorer(spark: SparkSession, model: Model | None):
 
     @F.arrow_udf("double")
     def worst(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache: dict[str, float] = {}
         for texts in batches:
-            parts = [held.value.score(texts.slice(k, 1000).to_pylist(), cache) for k in range(0, len(texts), 1000)]
+            parts = [held.value.score(texts.slice(k, 1000).to_pylist()) for k in range(0, len(texts), 1000)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64(), from_pandas=True)
 
     return worst
@@ -315,8 +433,8 @@ def detect(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     character costing a factor, so insults match with characters dropped, put in or set apart; punctuation is dropped,
     digits, accented letters and look-alikes read as the letters they stand for, and letters set apart by spaces are joined. The machine, with landmarks by Nyström, is
     trained on the sentences of at most ``per_class`` labelled documents of each class, a documented bound, and folded
-    into a weight for each subsequence. Whole texts are scored in one pass without a shuffle, each distinct word once
-    in a task.
+    into a weight for each subsequence. Whole texts are scored in one pass without a shuffle. The kernel is taken
+    of words and of each two and three adjacent words of a sentence, read without the spaces between them.
 
     Defined results: null, empty and blank texts score NULL and aren't toxic; null doc_id is kept; repeated rows score
     alike, as often as they occur; contradicting labels of one id are dropped, and of repeated ids in the documents the
