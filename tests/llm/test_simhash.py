@@ -55,6 +55,21 @@ def test_equals_brute_force_on_the_tables(spark):
     assert groups(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_copies_with_some_words_changed(make):
+    rng = np.random.default_rng(8)
+    rows, pairs = [], 60
+    for k in range(pairs):
+        n = (30, 100)[k % 2]
+        words = [f"w{int(x)}" for x in rng.integers(5000, size=n)]
+        copy = list(words)
+        for j in rng.choice(n, n // 15, replace=False):
+            copy[j] = f"v{int(rng.integers(5000))}"
+        rows += [(2 * k, " ".join(words), "en", "a", 0), (2 * k + 1, " ".join(copy), "en", "a", 0)]
+    found = [r["doc_ids"] for r in simhash.near_duplicates(make(rows), simhash.NEAR).collect()]
+    assert all(ids == [ids[0], ids[0] + 1] for ids in found) and len(found) >= 0.9 * pairs
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(make(rows), simhash.NEAR).collect()) == sorted({r[0] for r in rows} - {ids[1] for ids in found})
+
+
 def test_close_prints_share_a_key():
     rng = np.random.default_rng(1)
     for _ in range(300):

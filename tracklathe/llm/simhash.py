@@ -22,6 +22,9 @@ PRINTS = 16
 BITS = 3
 TOTAL = 160
 SEED = 3
+#: Bits that may differ, in place of BITS, in a fingerprint under whose key a pair meets, in the query alone:
+#: few pairs within TOTAL differ in more, and nearly all unrelated pairs that meet do.
+NEAR = 10
 #: Positional bytes, of eight, that two fingerprints within BITS bits are sure to share.
 SHARED = 8 - BITS
 #: Rows of the table of signs to which words are hashed.
@@ -76,9 +79,10 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum((F.when(x.bitwiseAND(F.lit((0xFF << 8 * k) - ((1 << 64) if k == 7 else 0))) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
 
 
-def close(a: Column, b: Column) -> Column:
-    """Fingerprints that share enough positional bytes and, verified, differ in BITS bits at most."""
-    return (shared_bytes(a, b) >= SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= BITS)
+def close(a: Column, b: Column, near: int) -> Column:
+    """Fingerprints, met under one key, that differ in ``near`` bits at most; for BITS or fewer that share SHARED bytes."""
+    apart = F.bit_count(a.bitwiseXOR(b)) <= near
+    return (shared_bytes(a, b) >= SHARED) & apart if near <= BITS else apart
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -105,7 +109,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.distinct().join(left, "a").join(right, "b").where(apart <= TOTAL).select("a", "b")
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, near: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Rows id, h (hash of the text), n (rows alike), node; and the components node, component of linked nodes.
 
     A node is a distinct set of fingerprints, so exact copies, however many, are one node. Under each key all nodes are
@@ -119,36 +123,39 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bucket = Window.partitionBy("key")
     full = postings(nodes).withColumn("size", F.count("*").over(bucket)).withColumn("hub", F.min(F.struct("node", "print")).over(bucket)).where("size > 1")
     full = checkpointed(full.select("key", "node", "print", "hub"))
-    spokes = full.where((F.col("node") != F.col("hub.node")) & close(F.col("print"), F.col("hub.print"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    spokes = full.where((F.col("node") != F.col("hub.node")) & close(F.col("print"), F.col("hub.print"), near)).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     first = checkpointed(verified(spokes, nodes))
     joined = checkpointed(components(first))
     labelled = full.join(joined, "node", "left").select("key", "node", "print", F.coalesce("component", "node").alias("c"))
     mixed = labelled.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("key", "node", "print", "c")
     x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & close(F.col("x.print"), F.col("y.print")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & close(F.col("x.print"), F.col("y.print"), near))
     second = checkpointed(verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes))
     links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     return rows.join(nodes, "prints").select("id", "h", "n", "node"), checkpointed(components(links))
 
 
-def members(docs: DataFrame) -> DataFrame:
+def members(docs: DataFrame, near: int = BITS) -> DataFrame:
     """id, h, n and group for every distinct row with text."""
-    rows, joined = grouped(docs)
+    rows, joined = grouped(docs, near)
     return rows.join(joined, "node", "left").select("id", "h", "n", F.coalesce("component", "node").alias("group"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, near: int = BITS) -> DataFrame:
     """Groups of near-duplicate documents: keep_id (least doc_id) and doc_ids, sorted, LIST to a row.
 
     Documents are linked if one of their sixteen 64-bit SimHash fingerprints of words differs in three bits at most and all
     together in 160 of 1024 (an angle of 28 degrees); a group is what links connect. The result equals brute force over all
     pairs: two fingerprints within three bits are sure to share five positional bytes, and the index finds all that do.
+    With ``near`` above three, as in the query, pairs are linked that meet under any key (three positional bytes of one
+    half of a fingerprint), differ in ``near`` bits at most there, and in TOTAL at most together. Words are split at
+    white space, so of texts in scripts without spaces only copies that keep their lines are found.
 
     Defined results: null text is in no group; texts without words count as copies of each other; a row with null doc_id
     takes part, and is listed as null, last; rows that repeat a doc_id are listed as often as they occur. A text without
     near copies is in no row. An empty table gives an empty table. Other columns are ignored.
     """
-    found = checkpointed(members(docs))
+    found = checkpointed(members(docs, near))
     sizes = found.groupBy("group").agg(F.sum("n").alias("size"), F.min("id").alias("keep_id")).where("size > 1")
     rows = found.join(sizes, "group").select("group", "keep_id", F.explode(F.array_repeat("id", F.col("n").cast("int"))).alias("id"))
     order = Window.partitionBy("group").orderBy(F.col("id").asc_nulls_last())
@@ -157,9 +164,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return lists.select("keep_id", F.transform(F.array_sort("ids"), lambda x: x["id"]).alias("doc_ids"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, near: int = BITS) -> DataFrame:
     """``docs`` with one row of each group: the least doc_id (null last), then text hash, then any of equal rows."""
-    found = checkpointed(members(docs))
+    found = checkpointed(members(docs, near))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     best = found.groupBy("group").agg(F.min(rank).alias("best"), F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 OR most > 1")
     rows = checkpointed(found.join(best, "group").withColumn("keep", rank == F.col("best")).where("NOT keep OR n > 1").select("id", "h", "keep"))
@@ -178,4 +185,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), NEAR)
