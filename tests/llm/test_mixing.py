@@ -56,3 +56,11 @@ def test_odd_rows(odd, none):
     plain["doc_id"] = plain["doc_id"].astype("Int64")
     assert got == by_sql(plain)
     assert mixing.mix(none).count() == 0 and mixing.mix(none).columns == none.columns
+
+
+def test_mix_keeps_a_column_called_copies(spark):
+    rows = [(i, "some words " * (i % 5 + 1), "src0" if i % 2 else "b", 100 + i) for i in range(40)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, copies long"))
+    assert out.columns == ["doc_id", "text", "source", "copies"]
+    found = out.collect()
+    assert found and all(r["copies"] == 100 + r["doc_id"] for r in found)

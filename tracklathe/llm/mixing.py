@@ -16,8 +16,8 @@ SEED = 17
 BINS = 1 << 16
 
 
-def pareto_copies(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, ratio: float = RATIO, seed: int = SEED) -> DataFrame:
-    """``docs`` with one more column, ``copies`` (long, 0 or more): how often each row enters the mixture.
+def pareto_copies(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, ratio: float = RATIO, seed: int = SEED, name: str = "copies") -> DataFrame:
+    """``docs`` with one more column, ``name`` (long, 0 or more): how often each row enters the mixture.
 
     The characters asked for (``ratio`` times all) are divided over the sources present by their weights. A source's
     share becomes a fixed number of copies, N, spread over its rows in proportion to x = floor(sqrt(length)) + 1: row i
@@ -31,13 +31,13 @@ def pareto_copies(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: f
     Defined results: null text counts as empty (length 0, x = 1); null source is the source ""; null doc_id hashes as
     "". A source whose rows are all empty gets 0 copies. Rows equal in doc_id and text are ranked together, and if the
     last rank falls among them, any of them are taken, as many as are needed. An empty table gives an empty table.
-    Other columns pass through, whatever their names; a column ``copies`` of the input is replaced.
+    Other columns pass through, whatever their names; a column called ``name`` in the input is replaced.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "copies"]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
     base = docs.select(F.struct(*keep).alias("row"))
     w = F.lit(float(other))
-    for name, value in sorted(weights.items()):
-        w = F.when(F.col("s") == name, F.lit(float(value))).otherwise(w)
+    for source, value in sorted(weights.items()):
+        w = F.when(F.col("s") == source, F.lit(float(value))).otherwise(w)
     length = F.coalesce(F.length("row.text"), F.lit(0)).cast("long")
     u = hex_uniform(F.lit(str(seed)), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
     ranked = base.select(
@@ -80,19 +80,25 @@ def pareto_copies(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: f
     split = cut.where("over > 0").limit(1).count() > 0  # copies of one row lie across the cut
     taken = F.when(chosen & ((F.col("key") < F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("over") == 0))), 1).otherwise(0)
     if not split:
-        return parts.select("row.*", (F.col("whole") + taken).cast("long").alias("copies"))
+        return parts.select("row.*", (F.col("whole") + taken).cast("long").alias(name))
     at_cut = F.coalesce(chosen & (F.col("key") == F.col("cut")) & (F.col("over") > 0), F.lit(False))
     rest = parts.where(~at_cut).select("row", (F.col("whole") + taken).alias("copies"))
     numbered = parts.where(at_cut).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("id")))
     tied = numbered.select("row", (F.col("whole") + F.when(F.col("r") <= F.col("of_ties"), 1).otherwise(0)).alias("copies"))
-    return rest.unionByName(tied).select("row.*", F.col("copies").cast("long").alias("copies"))
+    return rest.unionByName(tied).select("row.*", F.col("copies").cast("long").alias(name))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as often as pareto_copies() says, with the columns of ``docs``."""
+    """The mixture itself: every row of ``docs`` as often as pareto_copies() says, with the columns of ``docs`` untouched.
+
+    Defined results: as for pareto_copies(); a column ``copies`` of the input keeps its values, since the count goes under
+    a name that the input doesn't have.
+    """
     columns = docs.columns
-    counted = pareto_copies(docs, **params).where("copies > 0")
-    copies = counted.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    have = {c.lower() for c in columns}
+    name = next(n for k in range(len(have) + 1) if (n := f"copies_{k}") not in have)
+    counted = pareto_copies(docs, **params, name=name).where(F.col(name) > 0)
+    copies = counted.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.explode(F.sequence(F.lit(1), F.col(name).cast("int"))).alias("copy"))
     return copies.select("row.*")
 
 

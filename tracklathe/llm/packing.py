@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -19,10 +16,8 @@ WINDOW = 2048
 WEIGHTS = {"src0": 4.0}
 OTHER = 1.0
 BUCKETS = 1024
-#: Windows after which the deficits of a steady mixture are all zero again: as few as make every share a whole number
-#: of tokens, if that is at most LONGEST; else PERIOD, to which the shares are then rounded (to 1 in PERIOD * WINDOW).
-LONGEST = 4096
-PERIOD = 256
+#: Numbers (queues times boundaries) that the search for boundaries holds at once.
+CELLS = 1 << 20
 SCHEMA = "window_id long, window_offset long, source string, doc_id long, doc_start long, n_tokens long"
 
 
@@ -31,129 +26,70 @@ def words(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) > 0, F.size(F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+"))).otherwise(0)
 
 
-@dataclass
-class Phase:
-    """Windows first .. first+windows-1, in which the same queues are served.
-
-    ``start``: tokens each queue gave before; ``cum``: tokens it gives in the first j windows of a period, j = 0..period.
-    """
+class Plan:
+    """Deficit round-robin over queues of ``totals`` tokens, by arithmetic from a queue's token offsets to windows and back.
 
-    first: int
-    windows: int
-    start: np.ndarray
-    cum: np.ndarray
-    period: int
-    offset: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        take = np.diff(self.cum, axis=1)
-        self.offset = np.cumsum(take, axis=0) - take
-
-
-def serve(deficit: np.ndarray, window: int, period: int) -> np.ndarray:
-    """One round: each queue gets the whole tokens of its deficit; the largest remainders fill the window. In 1/period tokens."""
-    take = np.maximum(deficit // period, 0)
-    missing = window - int(take.sum())
-    if missing > 0:
-        take[np.argsort(-(deficit - take * period), kind="stable")[:missing]] += 1
-    while missing < 0:  # a queue that was behind catches up at the cost of those that are ahead
-        k = int(np.argmin(np.where(take > 0, deficit - take * period, np.iinfo(np.int64).max)))
-        take[k] -= 1
-        missing += 1
-    deficit -= take * period
-    return take
-
-
-def quotas(weights: np.ndarray, active: np.ndarray, window: int, period: int) -> np.ndarray:
-    """Whole tokens a period for each active queue, at least 1, in proportion to the weights."""
-    w = np.where(active, weights, 0.0)
-    ideal = w / w.sum() * window * period
-    q = np.where(active, np.maximum(np.floor(ideal), 1), 0).astype(np.int64)
-    short = window * period - int(q.sum())
-    order = np.argsort(-(ideal - q) * np.where(active, 1, 0) + np.where(active, 0, 1e18), kind="stable")
-    n = int(active.sum())
-    for i in range(abs(short)):
-        k = order[i % n] if short > 0 else int(np.argmax(q))
-        q[k] += 1 if short > 0 else -1
-    return q
-
-
-def period_of(weights: np.ndarray, active: np.ndarray, window: int) -> int:
-    parts = [Fraction(w).limit_denominator(10_000) for w in weights[active]]
-    total = sum(parts)
-    period = math.lcm(*[(p * window / total).denominator for p in parts])
-    return period if period <= LONGEST else PERIOD
-
-
-def schedule(totals: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> list[Phase]:
-    """Deficit round-robin over queues of ``totals`` tokens, as at most two phases for each queue that runs dry.
-
-    While the same queues hold tokens, the rounds repeat after some windows, so a phase states one period. In the
-    window in which a queue runs dry, what it can't give is given by the others, by their weights. Deficits carry from
-    window to window and into that window.
+    Credit grows for all queues together, by weight: at credit v a queue has been allotted w * v tokens and has given the
+    whole number next to that, or all it has. Its deficit, w * v less what it gave, is half a token at most either way,
+    and is never set back: it carries from window to window, past the windows in which other queues run dry. A window
+    ends where the tokens given reach its size. So what a queue gives before a window follows from the window's number
+    alone, and the plan holds two numbers for each queue, however many windows there are.
     """
-    given, first, phases = np.zeros(len(totals), np.int64), 0, []
-    totals = np.asarray(totals, np.int64)
-    while (left := totals - given).sum() > 0:
-        active = left > 0
-        period = period_of(weights, active, window)
-        quota = quotas(weights, active, window, period)
-        deficit, cum = np.zeros(len(totals), np.int64), np.zeros((len(totals), period + 1), np.int64)
-        for j in range(period):
-            deficit += quota
-            cum[:, j + 1] = cum[:, j] + serve(deficit, window, period)
-        full = min(int(left[k] // quota[k]) * period + int(np.searchsorted(cum[k], left[k] % quota[k], "right") - 1) for k in np.flatnonzero(active))
-        if full:
-            phases.append(Phase(first, full, given.copy(), cum, period))
-            given = given + (full // period) * quota + cum[:, full % period]
-            first += full
-            left = totals - given
-        if left.sum() == 0:
-            break
-        take = np.minimum(np.diff(cum, axis=1)[:, full % period], left)
-        while (room := min(window - int(take.sum()), int((left - take).sum()))) > 0:
-            open_ = left - take > 0
-            share = np.where(open_, weights, 0.0) / np.where(open_, weights, 0.0).sum() * room
-            more = np.minimum(np.floor(share).astype(np.int64), left - take)
-            if not more.sum():
-                more[np.argsort(-share, kind="stable")[0]] = 1
-            take = take + more
-        phases.append(Phase(first, 1, given.copy(), np.stack([np.zeros_like(take), take], 1), 1))
-        given, first = given + take, first + 1
-    return phases
-
 
-class Plan:
-    """Arithmetic from a queue's token offsets to windows and back."""
-
-    def __init__(self, phases: list[Phase]):
-        self.phases = phases
-        self.firsts = np.array([p.first for p in phases], np.int64)
-        self.starts = np.array([p.start for p in phases], np.int64)
+    def __init__(self, totals: np.ndarray, weights: np.ndarray, window: int = WINDOW):
+        self.totals, self.weights, self.window = np.asarray(totals, np.int64), np.asarray(weights, np.float64), window
+        if not (np.isfinite(self.weights) & (self.weights > 0)).all():
+            raise ValueError("weights must be above zero and finite")
+        self.end = float((self.totals / self.weights).max(initial=0.0)) + 1 / self.weights.min(initial=1.0) + 1
+
+    def at(self, credit: np.ndarray) -> np.ndarray:
+        """Tokens given by each queue (columns) at each credit (rows)."""
+        return np.minimum(np.floor(credit[:, None] * self.weights + 0.5), self.totals).astype(np.int64)
+
+    def before(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens given by each queue (columns) before each window (rows). Queues due at one credit give in their order."""
+        out = np.empty((len(windows), len(self.totals)), np.int64)
+        step = max(1, CELLS // max(len(self.totals), 1))
+        for k in range(0, len(windows), step):
+            want = np.minimum(windows[k : k + step] * self.window, self.totals.sum())
+            lo, hi = np.zeros(len(want)), np.full(len(want), self.end)
+            while True:
+                middle = (lo + hi) / 2
+                if ((middle <= lo) | (middle >= hi)).all():
+                    break
+                less = self.at(middle).sum(1) <= want
+                lo, hi = np.where(less, middle, lo), np.where(less, hi, middle)
+            given = self.at(lo)
+            due = np.cumsum(self.at(hi) - given, axis=1)
+            room = np.minimum(due, (want - given.sum(1))[:, None])
+            out[k : k + step] = given + np.diff(room, axis=1, prepend=0)
+        return out
 
     def window_of(self, k: int, offset: np.ndarray) -> np.ndarray:
-        out = np.empty_like(offset)
-        at = np.searchsorted(self.starts[:, k], offset, "right") - 1
-        for i in np.unique(at):
-            p, m = self.phases[i], at == i
-            local, quota = offset[m] - p.start[k], p.cum[k, -1]
-            out[m] = p.first + local // quota * p.period + np.searchsorted(p.cum[k, 1:], local % quota, "right")
-        return out
+        """The window of each token of a queue: near where its credit puts it, and exactly by what is given before windows."""
+        credit = (offset + 0.5) / self.weights[k]
+        guess = np.concatenate([self.at(credit[i : i + 1024]).sum(1) for i in range(0, len(credit), 1024)] or [np.zeros(0, np.int64)])
+        lo = np.maximum((guess - len(self.totals) - 2) // self.window, 0)
+        hi = (guess + len(self.totals) + 2) // self.window + 1
+        while (hi - lo > 1).any():
+            middle = (lo + hi) // 2
+            known, place = np.unique(middle, return_inverse=True)
+            ahead = self.before(known)[place, k] <= offset
+            lo, hi = np.where(ahead, middle, lo), np.where(ahead, hi, np.maximum(middle, lo + 1))
+        return lo
 
     def begin(self, k: int, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each window: the queue's first and last-plus-one offset in it, and where in the window its tokens begin."""
-        lo, hi, off = (np.empty_like(window) for _ in range(3))
-        at = np.searchsorted(self.firsts, window, "right") - 1
-        for i in np.unique(at):
-            p, m = self.phases[i], at == i
-            j = window[m] - p.first
-            base = p.start[k] + j // p.period * p.cum[k, -1]
-            lo[m], hi[m], off[m] = base + p.cum[k, j % p.period], base + p.cum[k, j % p.period + 1], p.offset[k, j % p.period]
-        return lo, hi, off
+        known, place = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
+        given = self.before(known)
+        head, upto = given[:, k], given[:, :k].sum(1)
+        first, after = place[: len(window)], place[len(window) :]
+        return head[first], head[after], upto[after] - upto[first]
 
     def segments(self, k: int, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """Index of the row, window, place in the window, place in the row and tokens of each piece of the rows [begin, begin + n)."""
-        lo, hi = self.window_of(k, begin), self.window_of(k, begin + n - 1)
+        both = self.window_of(k, np.concatenate([begin, begin + n - 1]))
+        lo, hi = both[: len(begin)], both[len(begin) :]
         count = hi - lo + 1
         row = np.repeat(np.arange(len(begin)), count)
         window = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + lo[row]
@@ -169,10 +105,11 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] = WEIG
     Columns: window_id and window_offset (place of the first token in the window), source, doc_id, doc_start (place of
     the first token in the document), n_tokens. Every token of every document is in exactly one segment; every window
     but the last is full. While all sources last, after any number of windows a source has had its share of the tokens
-    to within two tokens (deficits carry over; shares as PERIOD says). A source that has run dry drops out, and the others share by weight.
+    to within two tokens, as deficits carry over. A source that has run dry drops out, and the others share by weight.
+    Weights are any finite numbers above zero; others raise ValueError.
 
     A source's queue is its documents ordered by hash bucket, doc_id, text hash and length. Token offsets in the queue
-    come from sums by bucket and running sums within a bucket, so no task holds a whole source; the schedule, a few
+    come from sums by bucket and running sums within a bucket, so no task holds a whole source; the plan, two
     numbers for each source, turns offsets into windows by arithmetic. Text is read once and never shuffled.
 
     Defined results: null, empty and blank texts have no tokens and no segment. Null source is the source null, with the
@@ -193,7 +130,7 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict[str, float] = WEIG
     if not totals:
         return spark.createDataFrame([], SCHEMA)
     names = [r[0] for r in totals]
-    plan = Plan(schedule(np.array([r[1] for r in totals]), np.array([float(weights.get(s, other)) for s in names]), window))
+    plan = Plan(np.array([r[1] for r in totals]), np.array([float(weights.get(s, other)) for s in names]), window)
     queue = Window.partitionBy("source").orderBy("bucket")
     starts = sums.withColumn("base", F.sum("bucket_n").over(queue) - F.col("bucket_n")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "h", "n").rowsBetween(Window.unboundedPreceding, 0)
