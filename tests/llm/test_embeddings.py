@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tracklathe.llm import embeddings as emb
 
@@ -25,6 +26,34 @@ def test_count_is_calibrated():
     assert emb.needed(recall=0.5) > emb.needed(recall=0.99)
 
 
+def test_groups_follow_the_table():
+    near = emb.together(0.316, 8 * 0.316)
+    assert near == pytest.approx(0.9, abs=0.01)
+    sizes = [emb.groups(10**k, 0.57, near) for k in (1, 4, 6, 9)]
+    assert sizes == sorted(sizes) and sizes[-1][1] < 10 * sizes[1][1]  # a hundred thousand times the vectors
+    assert all(10**k * 0.57**lines <= emb.MATES for k, (lines, _) in zip((1, 4, 6, 9), sizes))
+
+
+def test_together_is_the_chance():
+    rng = np.random.default_rng(0)
+    a, cut = rng.normal(size=100_000) * 0.4, rng.random(100_000)
+    same = np.floor(cut) == np.floor(cut + a / 1.0)
+    assert same.mean() == pytest.approx(emb.together(0.4, 1.0), abs=0.01)
+
+
+def test_recall_at_size(spark):
+    """Groups of up to fifty near copies among thousands of unrelated vectors: brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(size=(3000, 48))]
+    for n in [2] * 60 + [10] * 5 + [50]:
+        parts.append(rng.normal(size=48) + rng.normal(size=(n, 48)) * rng.uniform(0.02, 0.22))
+    x = np.concatenate(parts).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["vec_a"], r["vec_b"]) for r in emb.near_pairs(df).collect()}
+    wanted = pairs(x.astype(float), list(range(len(x))), emb.COSINE)
+    assert got <= wanted and len(wanted) > 500 and len(got) / len(wanted) >= 0.95
+
+
 def test_odd_rows(spark):
     v = [0.5] * 8
     nan = float("nan")

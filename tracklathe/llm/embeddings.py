@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -13,13 +12,17 @@ from pyspark.sql import functions as F
 
 from tracklathe.llm._shared import checkpointed, table
 
-#: Production parameters: least cosine of a pair; projections, in groups of DIMS; half the window; recall the count is set for.
+#: Production parameters: least cosine of a pair; lines on which collisions are counted; half the window; recall the count
+#: is set for, and recall of the sorted groups of lines in which pairs meet.
 COSINE = 0.95
-GROUPS = 6
-DIMS = 4
+LINES = 24
 HALF = 0.45
 RECALL = 0.95
+MEET = 0.97
 SEED = 13
+#: Width of a cell of a sorted line, in distances of a pair just at the least cosine; unrelated vectors that one may meet in a group.
+WIDTH = 8.0
+MATES = 8.0
 #: Steps of a projection in half a window; a projection is kept as one byte.
 STEPS = 16
 
@@ -29,7 +32,7 @@ def collide(distance: float, half: float = HALF) -> float:
     return math.erf(half / distance / math.sqrt(2))
 
 
-def needed(cosine: float = COSINE, recall: float = RECALL, lines: int = GROUPS * DIMS) -> int:
+def needed(cosine: float = COSINE, recall: float = RECALL, lines: int = LINES) -> int:
     """The largest count that a pair just at ``cosine`` reaches with at least the chance ``recall``."""
     p = collide(math.sqrt(2 - 2 * cosine))
     tail = 0.0
@@ -40,49 +43,84 @@ def needed(cosine: float = COSINE, recall: float = RECALL, lines: int = GROUPS *
     return 0
 
 
-def project(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of unit vectors, and their projections on GROUPS * DIMS lines, in steps, from -127 to 127."""
-    widths = np.diff(vectors.offsets.to_numpy()).astype(np.int64)
-    flat = vectors.flatten().to_numpy()
+def together(distance: float, width: float) -> float:
+    """Chance that two vectors at a distance fall in one cell of a random line, cut at random."""
+    t = width / distance
+    return math.erf(t / math.sqrt(2)) - 2 / math.sqrt(2 * math.pi) / t * (1 - math.exp(-t * t / 2))
+
+
+def groups(n: int, crowd: float, near: float) -> tuple[int, int]:
+    """Lines of a group, and groups, for ``n`` vectors of which two share a line's cell with the chance ``crowd``, pairs with ``near``.
+
+    As many lines as leave a vector MATES unrelated ones in its cells of a group; as many groups as find a pair with the
+    chance MEET. Lines grow with the logarithm of n, groups with a small power of it.
+    """
+    lines = 1
+    while n * crowd**lines > MATES and lines < 64:
+        lines += 1
+    return lines, math.ceil(math.log(1 - MEET) / math.log(1 - near**lines))
+
+
+def vectors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and vectors of each length in a column of unit vectors."""
+    widths = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    flat = column.flatten().to_numpy()
     starts = np.cumsum(widths) - widths
-    out = np.zeros((len(widths), GROUPS * DIMS), np.int64)
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
-        lines = np.random.default_rng(SEED).standard_normal((int(width), GROUPS * DIMS))
-        for k in range(0, len(rows), 4096):
-            some = rows[k : k + 4096]
-            x = flat[starts[some][:, None] + np.arange(width)]
-            out[some] = np.clip(np.rint(x @ lines * (STEPS / HALF)), -127, 127)
-    return widths, out
+        yield rows, flat[starts[rows][:, None] + np.arange(width)]
+
 
+def projected(x: np.ndarray) -> np.ndarray:
+    """Projections on LINES lines, in steps, from -127 to 127."""
+    lines = np.random.default_rng(SEED).standard_normal((x.shape[1], LINES))
+    return np.clip(np.rint(x @ lines * (STEPS / HALF)), -127, 127).astype(np.int64)
 
-def keys(steps: np.ndarray, asked: bool) -> np.ndarray:
-    """Cells of each vector in each group: its own, or as a query all sixteen that its windows touch."""
-    sides = np.array(list(itertools.product((-STEPS, STEPS), repeat=DIMS)) if asked else [[0] * DIMS])
-    grouped = steps.reshape(len(steps), GROUPS, 1, DIMS) + sides
-    cells = (grouped + 128) // (2 * STEPS) + 8
-    shifts = 8 * np.arange(DIMS)
-    return ((cells << shifts).sum(-1) + (np.arange(GROUPS) << 8 * DIMS)[:, None]).reshape(len(steps), -1)
+
+def keys(x: np.ndarray, width: float, lines: int, count: int) -> np.ndarray:
+    """For each vector and group, a hash of its cells on the group's lines."""
+    out = np.empty((len(x), count), np.int64)
+    for g in range(count):
+        rng = np.random.default_rng([SEED, g])
+        cells = np.floor(x @ rng.standard_normal((x.shape[1], lines)) / width + rng.random(lines)).astype(np.int64).astype(np.uint64)
+        key = np.full(len(x), g + 1, np.uint64)
+        for k in range(lines):
+            key = (key ^ cells[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, g] = key.view(np.int64)
+    return out
+
+
+def crowded(width: float):
+    """mapInArrow function: how many vectors lie in each cell of the first LINES lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, x in vectors_of(b.column(1)):
+                cells = np.floor(projected(x) * (HALF / STEPS) / width).astype(np.int64) + np.arange(LINES) * 1_000_000
+                cell, n = np.unique(cells, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+    return run
 
 
-def located(asked: bool):
-    """mapInArrow function: a row for each vector and cell, with the vector's projections packed, eight bytes a long."""
+def located(width: float, lines: int, count: int):
+    """mapInArrow function: a row for each vector and group, with the vector's projections packed, eight bytes a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 b = batch.slice(k, 2048)
-                widths, steps = project(b.column(1))
-                found = keys(steps, asked)
-                n = found.shape[1]
-                longs = (steps + 128).astype(np.uint8).view("<i8")
-                columns = [pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(widths, n)), *[pa.array(np.repeat(longs[:, j], n)) for j in range(longs.shape[1])], pa.array(found.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "width", *PACKED, "key"])
+                ids = b.column(0).to_numpy()
+                for rows, x in vectors_of(b.column(1)):
+                    longs = (projected(x) + 128).astype(np.uint8).view("<i8")
+                    columns = [np.repeat(ids[rows], count), np.full(len(rows) * count, x.shape[1], np.int64), *[np.repeat(longs[:, j], count) for j in range(longs.shape[1])], keys(x, width, lines, count).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "width", *PACKED, "key"])
 
     return run
 
 
-PACKED = [f"p{k}" for k in range(GROUPS * DIMS // 8)]
+PACKED = [f"p{k}" for k in range(LINES // 8)]
 CELLS = "id long, width long, " + ", ".join(f"{p} long" for p in PACKED) + ", key long"
 
 
@@ -93,7 +131,7 @@ def collisions(a: str, b: str) -> Column:
     """
     lanes = lambda n: F.lit(sum(n << 16 * k for k in range(4)))
     total = F.lit(0)
-    for k in range(GROUPS * DIMS // 8):
+    for k in range(LINES // 8):
         for odd in (0, 8):
             x, y = (F.shiftrightunsigned(F.col(f"{s}.p{k}"), odd).bitwiseAND(lanes(255)) for s in (a, b))
             both = (x + lanes((1 << 14) + STEPS) - y).bitwiseAND(y + lanes((1 << 14) + STEPS) - x)
@@ -105,11 +143,12 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_a, vec_b (vec_a < vec_b) and cosine, rounded to six digits, of pairs of vectors with at least ``cosine``.
 
     Every vector is a query, with a window about its place on each of 24 random lines. A pair is verified if it collides
-    on as many lines as a pair just at ``cosine`` does with a chance of RECALL (17 of 24). The lines are sorted into
-    cells as wide as a window; pairs meet where all four lines of one of six groups collide, as they do, just at
-    ``cosine``, with a chance of 0.98, and above it more surely: at 0.98 the recall is over 0.999. Nothing else limits
-    the pairs. Random vectors share a cell with a chance that doesn't fall as their number grows, so the work on pairs
-    grows with its square, divided by about 4,000; more lines in a group (DIMS) divide it further.
+    on as many lines as a pair just at ``cosine`` does with a chance of RECALL (17 of 24). Counting every collision of
+    every line would list a quarter of all pairs a line, so the pairs to be counted are those that meet: further lines
+    are sorted into wide cells, and a pair meets where it shares the cells of all lines of a group. Lines a group and
+    groups follow from the number of vectors and the measured crowding of cells (groups()), by one rule at all sizes, so
+    a vector meets a few unrelated ones, however many there are, and a pair just at ``cosine`` meets with a chance of
+    MEET, a closer one more surely. Nothing else limits the pairs.
 
     Defined results: vectors that are null, empty, of zero length or hold a null, NaN or infinity are in no pair, nor are
     rows with null vec_id; vectors of different lengths form no pair. Rows that repeat a vec_id form no pair with each
@@ -121,9 +160,13 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     v = v.where(good).withColumn("norm", F.sqrt(square)).where("norm > 0 AND norm < double('infinity')").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v")).distinct()
     v = checkpointed(v)
-    data = v.mapInArrow(located(False), CELLS).alias("d")
-    asked = v.mapInArrow(located(True), CELLS).alias("q")
-    met = asked.join(data, (F.col("q.key") == F.col("d.key")) & (F.col("q.width") == F.col("d.width")) & (F.col("q.id") < F.col("d.id")) & (collisions("q", "d") >= needed(cosine)))
+    distance = max(math.sqrt(max(2 - 2 * cosine, 0)), 1e-3)
+    width = WIDTH * distance
+    n = v.count()
+    crowd = v.mapInArrow(crowded(width), "cell long, n long").groupBy("cell").agg(F.sum("n").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+    lines, count = groups(n, crowd / max(n, 1) ** 2 / LINES, together(distance, width))
+    q, d = (v.mapInArrow(located(width, lines, count), CELLS).alias(side) for side in "qd")
+    met = q.join(d, (F.col("q.key") == F.col("d.key")) & (F.col("q.width") == F.col("d.width")) & (F.col("q.id") < F.col("d.id")) & (collisions("q", "d") >= needed(cosine)))
     pairs = met.select(F.col("q.id").alias("a"), F.col("d.id").alias("b")).distinct()
     left, right = v.select(F.col("id").alias("a"), F.col("v").alias("va")), v.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
