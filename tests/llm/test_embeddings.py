@@ -30,7 +30,7 @@ def test_groups_follow_the_table():
     near = emb.together(0.316, 8 * 0.316)
     assert near == pytest.approx(0.9, abs=0.01)
     sizes = [emb.groups(10**k, 0.57, near) for k in (1, 4, 6, 9)]
-    assert sizes == sorted(sizes) and sizes[-1][1] < 10 * sizes[1][1]  # a hundred thousand times the vectors
+    assert sizes == sorted(sizes) and sizes[-1][1] < 20 * sizes[1][1]  # for a hundred thousand times the vectors
     assert all(10**k * 0.57**lines <= emb.MATES for k, (lines, _) in zip((1, 4, 6, 9), sizes))
 
 

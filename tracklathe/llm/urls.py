@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklathe.llm._shared import table
+from tracklathe.llm._shared import checkpointed, small, table
 
 #: Production parameters: host words of a block list, from which the labelled URLs come; bound of the labelled rows of
 #: each class used for the fit; trees.
@@ -71,21 +71,27 @@ def suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def featured(pages: DataFrame) -> DataFrame:
-    """id, url, host, the lexical features, and for the last one, two and three labels of the host: log(1 + URLs), log(1 + hosts).
+def suffixes(pages: DataFrame) -> DataFrame:
+    """host, and for its last one, two and three labels log(1 + URLs) and log(1 + hosts) with them, counted over all rows.
 
-    The statistics are counted over all rows: URLs by host first, then by suffix, so a frequent suffix costs no more to
-    join than it has hosts.
+    URLs are counted by host first, then by suffix, so a frequent suffix costs no more to join than it has hosts. The
+    result has a row for each host and is broadcast only if its measured size allows; else adaptive execution splits
+    the rows of a frequent host.
     """
-    base = pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"))
-    rows = base.select("id", "url", *[c.alias(k) for k, c in lexical(F.col("url")).items()])
-    hosts = rows.groupBy("host").agg(F.count("*").alias("urls"))
+    hosts = checkpointed(pages.select(lexical(F.col("url").cast("string"))["host"].alias("host")).groupBy("host").agg(F.count("*").alias("urls")))
     stats = hosts
     for k in SUFFIXES:
         of = hosts.groupBy(suffix(F.col("host"), k).alias(f"s{k}")).agg(F.log1p(F.sum("urls")).alias(f"urls_{k}"), F.log1p(F.count("*")).alias(f"hosts_{k}"))
         stats = stats.withColumn(f"s{k}", suffix(F.col("host"), k)).join(of, f"s{k}")
-    stats = stats.drop("urls", *[f"s{k}" for k in SUFFIXES])
-    return rows.join(stats, "host")
+    stats = checkpointed(stats.drop("urls", *[f"s{k}" for k in SUFFIXES]))
+    return small(stats, stats.count(), 150)
+
+
+def featured(pages: DataFrame, stats: DataFrame) -> DataFrame:
+    """id, url, host, the lexical features, and the statistics of suffixes; 0 for a host that has none."""
+    base = pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"))
+    rows = base.select("id", "url", *[c.alias(k) for k, c in lexical(F.col("url")).items()])
+    return rows.join(stats, "host", "left").fillna(0.0, NAMES[len(LEXICAL) :])
 
 
 NAMES = [*LEXICAL, *(f"{what}_{k}" for k in SUFFIXES for what in ("urls", "hosts"))]
@@ -96,48 +102,56 @@ def listed(host: Column, blocked: tuple[str, ...] = BLOCKED) -> Column:
     return F.when(F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(b) for b in blocked])), 1.0).otherwise(0.0)
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = SEED):
-    """Trees for rows with features and ``label``, from at most ``per_class`` rows of each class, first by hash; None without both."""
-    place = F.xxhash64("url", "id", F.lit(seed))
-    parts = [labelled.where(F.col("label") == c).orderBy(place, "url", "id").limit(per_class) for c in (0.0, 1.0)]
-    rows = parts[0].unionByName(parts[1]).select(*NAMES, "label").toPandas()
+def by_list(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
+    """A labelled table, url and label, of the URLs of ``pages`` by a block list of host words."""
+    url = F.col("url").cast("string")
+    return pages.select(url.alias("url"), listed(lexical(url)["host"], blocked).alias("label"))
+
+
+def chosen(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> DataFrame:
+    """page_id (0), url and label of at most ``per_class`` labelled URLs of each class, first by hash."""
+    given = labelled.select(F.lit(0).alias("page_id"), F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label")).where("url IS NOT NULL AND label IN (0, 1)")
+    place = F.xxhash64("url", F.lit(seed))
+    return given.where("label = 0").orderBy(place, "url").limit(per_class).unionByName(given.where("label = 1").orderBy(place, "url").limit(per_class))
+
+
+def fit(labelled: DataFrame, stats: DataFrame, per_class: int = PER_CLASS, seed: int = SEED):
+    """Trees for labelled URLs; None without both classes. Features are made of the chosen rows alone."""
+    rows = chosen(labelled, per_class, seed).toPandas()
     sizes = rows["label"].value_counts()
     if len(sizes) < 2:
         return None
+    rows["page_id"] = range(len(rows))
     rows["weight"] = rows["label"].map(len(rows) / (2 * sizes))
-    train = labelled.sparkSession.createDataFrame(rows).coalesce(2)
+    given = labelled.sparkSession.createDataFrame(rows).coalesce(2)
+    train = featured(given, stats).join(given.select(F.col("page_id").alias("id"), "label", "weight"), "id").sort("id").coalesce(2)
     train = VectorAssembler(inputCols=NAMES, outputCol="features").transform(train)
     return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=seed, weightCol="weight", cacheNodeIds=False).fit(train)
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, blocked: tuple[str, ...] = BLOCKED, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, score (probability of a bad URL) and bad for every row of ``pages``.
 
-    ``labelled`` has url and label (0 or 1). Without it, the URLs of ``pages`` are labelled by a block list of host
-    words. The trees see only length, depth, ratios, entropies, counts of parameters and statistics of host suffixes,
-    never the list, so they carry over to hosts that no list knows. The fit is on at most ``per_class`` labelled URLs of
-    each class, a documented bound; features and scores are column expressions, and statistics count every row.
+    ``labelled`` has url and label (0 or 1). The trees see only length, depth, ratios, entropies, counts of parameters
+    and statistics of host suffixes, so they carry over to hosts without labels. The fit is on at most ``per_class``
+    labelled URLs of each class, a documented bound; features and scores are column expressions, made once for each
+    row, and statistics count every row.
 
     Defined results: a null URL has the features of an empty one, scores NULL and isn't bad; null page_id is kept; repeated
     rows are counted and scored as often as they occur. If one class has no labels, every score is NULL and no URL is
     bad. Labels other than 0 and 1 and labelled URLs that are null are ignored. An empty table gives an empty table.
     Other columns are ignored.
     """
-    found = featured(pages)
-    if labelled is None:
-        known = found.where("url IS NOT NULL").withColumn("label", listed(F.col("host"), blocked))
-    else:
-        given = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label")).where("url IS NOT NULL AND label IN (0, 1)")
-        hosts = found.select("host", *NAMES[len(LEXICAL) :]).dropDuplicates(["host"])
-        own = given.select(F.lit(0).cast("long").alias("id"), "url", "label", *[c.alias(k) for k, c in lexical(F.col("url")).items()])
-        known = own.join(hosts, "host", "left").fillna(0.0, NAMES[len(LEXICAL) :])
-    model = fit(known, per_class)
+    stats = suffixes(pages)
+    model = fit(labelled, stats, per_class)
     if model is None:
-        return found.select(F.col("id").alias("page_id"), "url", F.lit(None).cast("double").alias("score"), F.lit(False).alias("bad"))
-    scored = model.transform(VectorAssembler(inputCols=NAMES, outputCol="features", handleInvalid="keep").transform(found))
+        return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("bad"))
+    scored = model.transform(VectorAssembler(inputCols=NAMES, outputCol="features", handleInvalid="keep").transform(featured(pages, stats)))
     score = F.when(F.col("url").isNotNull(), vector_to_array("probability")[1])
     return scored.select(F.col("id").alias("page_id"), "url", score.alias("score")).withColumn("bad", F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    """The tables have no labelled URLs, so a block list labels those of pages."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, by_list(pages))
