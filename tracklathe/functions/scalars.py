@@ -225,12 +225,18 @@ def idle_thrust(height_m: Column, speed: Column, static_thrust: Column) -> Colum
     return 0.07 * max_climb_thrust(height_m, speed, static_thrust)
 
 
-def synonyms(kind: Column, names: dict[str, str]) -> Column:
-    """Lower-case type, by its synonym if it has one."""
+#: Types that have no limits of their own, by the type whose limits stand for theirs.
+_STANDS_FOR = {"a319": "a310 a318 bcs1 bcs3", "a321": "a21n", "b739": "b39m", "b752": "b763", "b772": "b773", "c550": "c56x", "e190": "e290", "e75l": "at76 crj9"}
+SYNONYMS = {own: other for other, owns in _STANDS_FOR.items() for own in owns.split()}
+
+
+def synonyms(kind: Column, names: dict[str, str] = SYNONYMS) -> Column:
+    """Lower-case type, by its synonym if it has one; names are read in any case."""
     low = F.lower(kind)
     if not names:
         return low
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[low], low)
+    pairs = {a.lower(): b.lower() for a, b in names.items()}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[low], low)
 
 
 def coerce(text: str) -> int | float | str:

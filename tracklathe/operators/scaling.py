@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklathe.plans.lineage import small
+
 
 class TargetScaler(Protocol):
     def fit(self, df: DataFrame) -> "TargetScaler": ...
@@ -34,13 +36,14 @@ class Identity:
 
 @dataclass
 class Standard(Identity):
-    """The target less its mean, by its population deviation."""
+    """The target less its mean, by its population deviation; by 1 if it is constant or the table empty."""
 
     mean: float = 0.0
     scale: float = 1.0
 
     def fit(self, df: DataFrame) -> "Standard":
-        self.mean, self.scale = df.agg(F.avg(self.target), F.stddev_pop(self.target)).first()
+        mean, scale = df.agg(F.avg(self.target), F.stddev_pop(self.target)).first()
+        self.mean, self.scale = mean or 0.0, scale or 1.0
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -54,7 +57,8 @@ class Standard(Identity):
 class ByGroup:
     """The target less the group's mean, by its scale; the weight is the scale's square.
 
-    ``table`` has the group, mean and scale. A group that isn't in it raises.
+    ``table`` has the group, mean and scale. A group that isn't in it raises. A scale of 0, of a constant group, counts as 1.
+    The table has a row for each group and is broadcast if its measured size allows.
     """
 
     table: DataFrame | None = None
@@ -65,7 +69,8 @@ class ByGroup:
         return self
 
     def joined(self, df: DataFrame) -> DataFrame:
-        side = F.broadcast(self.table.select(F.col(self.by), F.col("mean").alias("_mean"), F.col("scale").alias("_scale")))
+        scale = F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))
+        side = small(self.table.select(F.col(self.by), F.col("mean").alias("_mean"), scale.alias("_scale")))
         known = F.assert_true(F.col("_scale").isNotNull(), F.concat(F.lit(f"no scale for {self.by} "), F.coalesce(F.col(self.by), F.lit("NULL"))))
         return df.join(side, self.by, "left").withColumn("_scale", F.when(known.isNull(), F.col("_scale")))
 
@@ -155,7 +160,7 @@ class GroupFeatureScaler:
         if self.synonyms:
             names = F.create_map(*[F.lit(x) for pair in self.synonyms.items() for x in pair])
             group = F.coalesce(names[group], group)
-        return df.withColumn("_group", group).join(F.broadcast(self.table.withColumnRenamed(self.by, "_group")), "_group", "left")
+        return df.withColumn("_group", group).join(small(self.table.withColumnRenamed(self.by, "_group")), "_group", "left")
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.joined(df)

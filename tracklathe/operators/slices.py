@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklathe.functions.scalars import FOOT, mach, micros, midpoint, normalized_time, seconds_between, temperature_deviation, wind_along_track
+from tracklathe.functions.scalars import FOOT, mach, micros, midpoint, normalized_time, seconds_between, synonyms, temperature_deviation, wind_along_track
 from tracklathe.operators.sequence import energy_rate
 
 #: Slices of a thousand feet from -500 ft; in metres.
@@ -91,25 +91,28 @@ def climbing(trajectories: DataFrame, dates: DataFrame, limits: DataFrame | None
     ``dates`` has flight_id, t_adep, t_ades and aircraft_type; ``limits`` aircraft_type, mass_min and mass_max;
     ``mass`` is the equivalent mass of a point, NULL if coefficients aren't at hand. The energy rate is computed before
     points are filtered. Climb: climb slices and one takeoff slice at level rates; else descent slices, whose test is a
-    rate below +``rate``. Flights without a point in the half have no row.
+    rate below +``rate``. Flights without a point in the half have no row. A point is in one slice at most, so one scan
+    and one aggregation give all slices. A type without limits of its own takes those of its synonym; the table of limits
+    has a row for each type and is broadcast.
     """
     joined = energy_rate(trajectories.join(dates, "flight_id"), lag)
     joined = joined.withColumns({"masses": (mass if mass is not None else F.lit(None)).cast("double"), "DeltaT": temperature_deviation(F.col("temperature"), F.col("altitude"))})
     mid, t = midpoint(F.col("t_adep"), F.col("t_ades")), F.col("timestamp")
     half = joined.where((F.col("t_adep") <= t) & (t < mid)) if climb else joined.where((t < F.col("t_ades")) & (t > mid))
-    base = half.select("flight_id", "aircraft_type").distinct()
-    if limits is not None:
-        base = base.join(F.broadcast(limits.select("aircraft_type", "mass_max", "mass_min")), "aircraft_type", "left")
-    else:
-        base = base.withColumns({"mass_max": F.lit(None).cast("double"), "mass_min": F.lit(None).cast("double")})
-    base = base.drop("aircraft_type")
     n, v = slice_edges(start, step), F.col(rate_column)
     bucket = altitude_bucket(F.col("altitude"), start, step)
-    if not climb:
-        return base.join(wide(half.where(v < rate), "flight_id", bucket, n, phase_statistics(), "descent"), "flight_id", "left")
-    low = F.when((F.col("altitude") >= -10000) & (F.col("altitude") < 2000 * FOOT), 0)
-    out = base.join(wide(half.where(v > rate), "flight_id", bucket, n, phase_statistics(), "climb"), "flight_id", "left")
-    return out.join(wide(half.where(v.between(-rate, rate)), "flight_id", low, 1, phase_statistics(), "takeoff"), "flight_id", "left")
+    within = F.when(bucket.between(0, n - 1), bucket.cast("int"))
+    low = (F.col("altitude") >= -10000) & (F.col("altitude") < 2000 * FOOT)
+    place = F.when(v > rate, within).when(v.between(-rate, rate) & low, n) if climb else F.when(v < rate, within)
+    stats, names = phase_statistics(), {**{i: ("climb" if climb else "descent", i) for i in range(n)}, **({n: ("takeoff", 0)} if climb else {})}
+    found = half.withColumn("_place", place).groupBy("flight_id", "aircraft_type").pivot("_place", list(names))
+    out = found.agg(*[c.alias(k) for k, c in stats.items()])
+    if limits is not None:
+        known = limits.select(F.lower("aircraft_type").alias("_type"), "mass_max", "mass_min")
+        out = out.join(F.broadcast(known), synonyms(F.col("aircraft_type")) == F.col("_type"), "left")
+    else:
+        out = out.withColumns({"mass_max": F.lit(None).cast("double"), "mass_min": F.lit(None).cast("double")})
+    return out.select("flight_id", "mass_max", "mass_min", *[F.col(f"`{i}_{k}`").alias(f"{prefix}{k}_{j}") for i, (prefix, j) in names.items() for k in stats])
 
 
 def cruise(trajectories: DataFrame, dates: DataFrame, n: int = SPLITS) -> DataFrame:

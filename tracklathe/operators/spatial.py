@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,16 +49,27 @@ def within_radius(left: DataFrame, right: DataFrame, left_at: Sequence[Column],
     return pairs.where(F.col("distance") <= radius).select("l", "r", "distance")
 
 
+def spacing(sites: DataFrame, n: int, k: int) -> float:
+    """Side of the cube that would hold k sites if they lay evenly in their bounds; 0 without sites."""
+    bounds = [f(F.col(f"r{i}")) for i in range(n) for f in (F.min, F.max)]
+    count, *edges = sites.agg(F.count("*"), *bounds).first()
+    sides = [b - a for a, b in zip(edges[::2], edges[1::2]) if count and b > a]
+    return math.prod(side * (k / count) ** (1 / len(sides)) for side in sides) ** (1 / len(sides)) if sides else 0.0
+
+
 def nearest(left: DataFrame, right: DataFrame, left_at: Sequence[Column], right_at: Sequence[Column], key: str, ties: Sequence[str], k: int = 1, width: float = 1.0) -> DataFrame:
     """Columns l, r, distance and rank of the ``k`` nearest right rows of each left row, ties by the columns ``ties``.
 
-    ``key`` tells left rows apart. Cells of ``width`` are searched first; rows with fewer than k neighbours within a
-    cell's width, for which others might be nearer, are searched again in cells twice as wide, until none is left.
-    Left rows with an unknown coordinate, and all if ``right`` is empty, have no neighbour and are left out.
+    ``key`` tells left rows apart. Cells of ``width``, or as wide as even spacing needs, are searched first; rows with
+    fewer than k neighbours within a cell's width, for which others might be nearer, are searched again in cells twice
+    as wide, until none is left. Only keys and positions of the left rows are copied to cells; the rows are joined at
+    the end. Left rows with an unknown coordinate, and all if ``right`` is empty, have no neighbour and are left out.
     """
     n = len(left_at)
-    todo = checkpointed(positioned(left, left_at, "l"))
+    rows = positioned(left, left_at, "l")
+    todo = checkpointed(rows.withColumn("l", F.struct(F.col(f"l.{key}").alias(key))))
     sites = positioned(right, right_at, "r")
+    width = max(width, spacing(sites, n, k))
     total = min(k, sites.limit(k).count())
     best = Window.partitionBy(F.col(f"l.{key}")).orderBy("distance", *[F.col(f"r.{t}") for t in ties])
     done = None
@@ -73,5 +85,6 @@ def nearest(left: DataFrame, right: DataFrame, left_at: Sequence[Column], right_
             break
         width *= 2
     if done is None:
-        return met(todo, sites, width, n).withColumn("rank", F.lit(0)).select("l", "r", "distance", "rank").where(F.lit(False))
-    return done
+        return met(rows, sites, width, n).withColumn("rank", F.lit(0)).select("l", "r", "distance", "rank").where(F.lit(False))
+    done = done.withColumnRenamed("l", "_l")
+    return done.join(rows.select("l"), F.col(f"_l.{key}").eqNullSafe(F.col(f"l.{key}"))).select("l", "r", "distance", "rank")

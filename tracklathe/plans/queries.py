@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklathe.functions import scalars as s
 from tracklathe.operators import dates, features, scaling, sequence, slices, spatial, spline
-from tracklathe.plans import metrics, model
+from tracklathe.plans import flight_queries, metrics, model
 
 K, T = "user_id", "ts"
 
@@ -81,13 +81,6 @@ def seq_unwrap(spark, sf_dir):
     return sequence.unwrap(rows, "angle", "unwrapped", K, T).select("event_id", *[c.alias(k) for k, c in rounded("angle", "unwrapped", digits=4).items()])
 
 
-def seq_lag5_rate(spark, sf_dir):
-    w = sequence.ordered(K, T)
-    dt = s.seconds_between(F.lag(T, 5).over(w), F.col(T))
-    rate = F.when(dt <= 72 * 3600, F.try_divide(F.col("value") - F.lag("value", 5).over(w), dt / 3600))
-    return events(spark, sf_dir).select("event_id", F.round(s.clip(rate, -2.0, 1.5), 6).alias("rate"))
-
-
 def seq_ffill(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("known", F.when(F.col("event_type") == "purchase", F.col("value")))
     return rows.select("event_id", sequence.forward_fill("known", K, T).alias("forward"), sequence.backward_fill("known", K, T).alias("backward"), sequence.fill("known", K, T).alias("both"))
@@ -104,17 +97,9 @@ def slice_time_stats(spark, sf_dir):
 
 
 def first_last_minus(spark, sf_dir):
-    at = F.when(F.col("event_type") != "error", F.unix_micros(T))
-    delta = F.max_by("value", at) - F.min_by("value", at)
-    return events(spark, sf_dir).groupBy(K).agg(F.round(delta, 4).alias("delta"), F.max_by("event_id", F.unix_micros(T)).alias("last_event"))
-
-
-def corrected_window(spark, sf_dir):
-    o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    late = line.where("l_returnflag = 'R'").withColumn("us", s.micros(F.col("l_shipdate"))).groupBy("l_orderkey").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    start = s.micros(F.col("o_orderdate"))
-    out = o.join(late, o["o_orderkey"] == late["l_orderkey"], "left")
-    return out.select("o_orderkey", F.coalesce("lo", start).alias("start_us"), F.coalesce("hi", start + 86400000000).alias("end_us"))
+    rows = events(spark, sf_dir).withColumn("known", F.when(F.col("event_type") != "error", F.col("value")))
+    stats = {"delta": ("delta", F.col("known")), "n": ("count", F.col("known"))}
+    return slices.closed_slices(rows, K, F.lit(0.5), 1, stats, T).select(K, F.round("delta_0", 4).alias("delta"), F.col("n_0").alias("n"))
 
 
 def local_time_parts(spark, sf_dir):
@@ -153,16 +138,6 @@ def round_half_even(spark, sf_dir):
     return part.select("p_partkey", alt.alias("rounded"), s.recode_slice(alt, F.col("p_retailprice") - 1400, F.col("p_size") * 4, 40).alias("recoded"))
 
 
-def dim_join_inner(spark, sf_dir):
-    o, c, n = (read(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    return o.join(c.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
-
-
-def dim_join_left(spark, sf_dir):
-    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    return o.join(c.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
-
-
 def feature_union(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumnsRenamed({"c_custkey": "flight_id", "c_mktsegment": "aircraft_type"})
     o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("flight_id")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
@@ -241,7 +216,8 @@ def unique_keys(spark, sf_dir):
 
 QUERIES = {
     "slice_value_stats": value_slices,
-    **{f.__name__: f for f in (seq_dedup, seq_changed_mask, seq_derivative_filter, seq_isolated, seq_hole_width, seq_unwrap, seq_lag5_rate, seq_ffill, slice_time_stats, first_last_minus, corrected_window, local_time_parts, unit_convert, wind_projection_mean, quadratic_root, round_half_even, dim_join_inner, dim_join_left, feature_union, radius_any_match, nearest_one, group_scale, rmse_by_group, ensemble_mean, ordinal_encode, spline_smooth, gbt_fit_predict, unique_keys)},
+    **{f.__name__: f for f in (seq_dedup, seq_changed_mask, seq_derivative_filter, seq_isolated, seq_hole_width, seq_unwrap, seq_ffill, slice_time_stats, first_last_minus, local_time_parts, unit_convert, wind_projection_mean, quadratic_root, round_half_even, feature_union, radius_any_match, nearest_one, group_scale, rmse_by_group, ensemble_mean, ordinal_encode, spline_smooth, gbt_fit_predict, unique_keys)},
+    **flight_queries.QUERIES,
 }
 
 KNOWN = "(SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN value END AS value) FROM events)"
@@ -278,9 +254,6 @@ b AS (SELECT *, angle - lag(angle) OVER {W} AS d FROM a),
 c AS (SELECT *, ((d + 180) - 360 * floor((d + 180) / 360)) - 180 AS f FROM b),
 e AS (SELECT *, CASE WHEN d IS NULL OR abs(d) < 180 THEN 0.0 ELSE CASE WHEN f = -180 AND d > 0 THEN 180.0 ELSE f END - d END AS step FROM c)
 SELECT event_id, round(angle, 4) AS angle, round(angle + sum(step) OVER {UPTO}, 4) AS unwrapped FROM e""",
-    "seq_lag5_rate": f"""
-WITH a AS (SELECT event_id, value - lag(value, 5) OVER {W} AS dv, ({US} - lag({US}, 5) OVER {W}) / 1e6 AS dt FROM events)
-SELECT event_id, round(CASE WHEN dt <= 259200 THEN greatest(-2.0::DOUBLE, least(1.5::DOUBLE, dv / nullif(dt / 3600, 0))) END, 6) AS rate FROM a""",
     "seq_ffill": f"""
 WITH a AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS known FROM events),
 b AS (SELECT event_id, last_value(known IGNORE NULLS) OVER {UPTO} AS forward, first_value(known IGNORE NULLS) OVER {ONWARD} AS backward FROM a)
@@ -289,10 +262,7 @@ SELECT *, coalesce(forward, backward) AS both FROM b""",
 WITH a AS (SELECT user_id, ts, CASE WHEN event_type <> 'error' THEN value END AS known, CAST({US} - min({US}) OVER (PARTITION BY user_id) AS DOUBLE) / nullif(CAST(max({US}) OVER (PARTITION BY user_id) - min({US}) OVER (PARTITION BY user_id) AS DOUBLE), 0) AS t FROM events)
 SELECT user_id, {", ".join(f"round(median(known) FILTER (t BETWEEN {i} / 5.0::DOUBLE AND {i + 1} / 5.0::DOUBLE), 4) AS med_{i}, CASE WHEN count(*) FILTER (t BETWEEN {i} / 5.0::DOUBLE AND {i + 1} / 5.0::DOUBLE) > 0 THEN count(known) FILTER (t BETWEEN {i} / 5.0::DOUBLE AND {i + 1} / 5.0::DOUBLE) END AS n_{i}, round(arg_max(known, ts) FILTER (known IS NOT NULL AND t BETWEEN {i} / 5.0::DOUBLE AND {i + 1} / 5.0::DOUBLE) - arg_min(known, ts) FILTER (known IS NOT NULL AND t BETWEEN {i} / 5.0::DOUBLE AND {i + 1} / 5.0::DOUBLE), 4) AS delta_{i}" for i in range(5))}
 FROM a WHERE t BETWEEN 0 AND 1 GROUP BY user_id""",
-    "first_last_minus": "SELECT user_id, round(arg_max(value, ts) FILTER (event_type <> 'error') - arg_min(value, ts) FILTER (event_type <> 'error'), 4) AS delta, arg_max(event_id, ts) AS last_event FROM events GROUP BY user_id",
-    "corrected_window": """
-SELECT o_orderkey, coalesce(lo, epoch_us(o_orderdate)) AS start_us, coalesce(hi, epoch_us(o_orderdate) + 86400000000) AS end_us
-FROM orders LEFT JOIN (SELECT l_orderkey, epoch_us(min(l_shipdate)) AS lo, epoch_us(max(l_shipdate)) AS hi FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey""",
+    "first_last_minus": "SELECT user_id, round(arg_max(value, ts) FILTER (event_type <> 'error') - arg_min(value, ts) FILTER (event_type <> 'error'), 4) AS delta, count(*) FILTER (event_type <> 'error' AND value IS NOT NULL) AS n FROM events GROUP BY user_id",
     "local_time_parts": """
 WITH a AS (SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN timezone('Europe/Paris', timezone('UTC', ts)) WHEN 1 THEN timezone('America/New_York', timezone('UTC', ts)) END AS l FROM events)
 SELECT event_id, CAST(isodow(ts) AS INT) AS day, CAST(week(ts) AS INT) AS week, CAST(hour(ts) * 60 + minute(ts) AS INT) AS minute, CAST(hour(l) * 60 + minute(l) AS INT) AS local_minute FROM a""",
@@ -311,8 +281,6 @@ SELECT {KEYS}, round(CASE WHEN d >= 0 THEN (-b - sqrt(greatest(d, 0))) / nullif(
     "round_half_even": """
 WITH a AS (SELECT p_partkey, round_even(floor(p_retailprice) * 5 / 1000, 0) * 1000 AS rounded, p_retailprice - 1400 AS d, p_size * 4 AS n FROM part)
 SELECT p_partkey, rounded, CASE WHEN n < 40 THEN NULL WHEN d < -200 THEN -20000.0::DOUBLE WHEN d > 200 THEN -10000.0::DOUBLE ELSE rounded END AS recoded FROM a""",
-    "dim_join_inner": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0",
-    "dim_join_left": "SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
     "feature_union": """
 SELECT c_custkey AS flight_id, c_mktsegment AS aircraft_type, c_acctbal, orders, spent, mean_value FROM customer
 LEFT JOIN (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) ON c_custkey = o_custkey
@@ -330,3 +298,4 @@ SELECT a.event_id, b.event_id AS nearest, round({GAP}, 5) AS distance FROM a, b
     "ordinal_encode": "SELECT c_custkey, CAST(coalesce(code, -1) AS INT) AS code FROM customer LEFT JOIN (SELECT c_mktsegment AS m, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')) ON c_mktsegment = m",
     "unique_keys": "SELECT concat_ws('-', l_orderkey, l_linenumber) AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
 }
+SQL |= flight_queries.SQL

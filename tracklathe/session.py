@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive plans; other settings as given, dots written as two underscores."""
-    builder = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A session in UTC with adaptive plans and checkpoints that go when their results do; other settings as given, dots written as two underscores."""
+    builder = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
