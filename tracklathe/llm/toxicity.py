@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,6 @@ DECAY = 0.6
 PENALTY = 0.02
 #: A word always counts as toxic in training if at least this share of toxic documents has it, this many times as often as clean ones.
 TELLING = (0.015, 15.0)
-#: Copies of each toxic word with a letter put in, learned beside it; together they weigh as much as the word.
-ALTERED = 6
 #: An error on a clean document weighs this much against one on a toxic document.
 CAUTION = 5.0
 #: Weight of toxic documents with a letter put into their worst word against those as they are, where the threshold is set.
@@ -38,6 +37,8 @@ PLACE = 0.35
 WINDOW = 3
 #: Toxic documents that a phrase must be in to be learned as one.
 PHRASE = 3
+#: Digits of values that are compared in the fit, so that the last bits, which differ by machine, don't decide ties.
+EXACT = 5
 #: Characters of text scored at once.
 CHUNK = 1 << 18
 ROUNDS = 4
@@ -216,7 +217,7 @@ def worst_units(theta: np.ndarray, bias: float, text: str, top: int) -> tuple[li
     codes, first, last, _ = units([text])
     if not len(first):
         return [], bias
-    values = totals(theta, codes, first, last)
+    values = totals(theta, codes, first, last).round(EXACT)
     best = np.argsort(-values, kind="stable")[:top]
     return [spell(codes[first[k] : last[k]]) for k in best], float(values[best[0]]) + bias
 
@@ -348,26 +349,28 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         cost = np.minimum(cost, 50.0)
         cost = np.where(y > 0, cost / cost[y > 0].sum(), cost / cost[y < 0].sum()) * 100
         words = [vocabulary[j] for j in [*positive, *active]] + more
-        altered = [(alter(words[k], rng), cost[k] / ALTERED) for k in range(len(positive)) for _ in range(ALTERED) if len(words[k]) >= 5]
+        # beside each toxic word its copies with a letter put in, one for each place; together they weigh as much as the word
+        altered = [(alter(words[k], turn, at), cost[k] / (len(words[k]) - 1)) for k in range(len(positive)) if len(words[k]) >= 5 for at in range(1, len(words[k]))]
         words += [a for a, _ in altered]
         y, cost = np.concatenate([y, np.ones(len(altered))]), np.concatenate([cost, [c for _, c in altered]])
         z = np.concatenate([dense(words[k : k + 256], columns) @ marks.T for k in range(0, len(words), 256)]).astype(np.float64) @ root
         w, bias = svm(z, y, cost, PENALTY)
         theta[columns] = (root @ w) @ marks
-        score = np.concatenate([apply(theta, bias, vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)])
+        score = np.concatenate([apply(theta, bias, vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)]).round(EXACT)
     held = [i for i in np.flatnonzero(part == 0) if len(ids[i])] or [i for i in range(len(texts)) if len(ids[i])]
     found = [worst_units(theta, bias, texts[i], 1) for i in held]
     worst = np.array([value for _, value in found])
     told = ["".join(unit) for i, (unit, _) in zip(held, found) if labels[i] == 1]
-    dodged = apply(theta, bias, [alter(w, rng) for w in told if len(w) >= 5])
+    dodged = apply(theta, bias, [alter(w, ROUNDS) for w in told if len(w) >= 5]).round(EXACT)
     weight = np.where(labels[held] == 1, (1 - DODGED) / max(len(told), 1), CAUTION / max(len(held) - len(told), 1))
     scores, truth = np.concatenate([worst, dodged]), np.concatenate([labels[held], np.ones(len(dodged), np.int64)])
     return Model(theta, bias, cut(scores, truth, np.concatenate([weight, np.full(len(dodged), DODGED / max(len(dodged), 1))])))
 
 
-def alter(word: str, rng: np.random.Generator) -> str:
-    """The word with a letter put in, as those who dodge filters write it."""
-    at = int(rng.integers(1, len(word)))
+def alter(word: str, turn: int, at: int | None = None) -> str:
+    """The word with a letter put in at a place, any if none is given, as those who dodge filters write it; the same for the same word and turn."""
+    rng = np.random.default_rng([SEED, turn, at or 0, zlib.crc32(word.encode("utf-8", "replace"))])
+    at = at or int(rng.integers(1, len(word)))
     return word[:at] + chr(97 + int(rng.integers(26))) + word[at:]
 
 
