@@ -260,3 +260,37 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("points").count() == 2
+
+
+def test_readers_of_flights_airports_and_masses(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("flight_id,adep,tow,actual_offblock_time,arrival_time,taxiout_time\n7,LFPG,60000.5,2024-01-01 23:30:00,2024-01-02 01:05:00,12\n")
+    row = readers.flights_csv(spark, str(tmp_path / "f.csv")).first()
+    assert (row["flight_id"], row["tow"], row["taxiout_time"]) == (7, 60000.5, 12.0)
+    readers.flights_csv(spark, str(tmp_path / "f.csv")).write.parquet(str(tmp_path / "f"))
+    row = readers.flights(spark, str(tmp_path / "f")).first()
+    assert (row["dayofweek"], row["weekofyear"], row["arrival_minutes"], row["actual_offblock_minutes"]) == (1, 1, 65, 23 * 60 + 30)
+    (tmp_path / "a.csv").write_text("ident,latitude_deg,longitude_deg,elevation_ft\nLFPG,49.01,2.55,392\n")
+    row = readers.airports_csv(spark, str(tmp_path / "a.csv")).first()
+    assert (row["ident"], row["latitude_deg"], row["elevation_ft"]) == ("LFPG", 49.01, 392.0)
+    (tmp_path / "m.csv").write_text("aircraft_type,mtow,oew,source,range\nA320,78000,42600,x,\n")
+    row = readers.aircraft_masses(spark, str(tmp_path / "m.csv")).first()
+    assert (row["mtow"], row["oew"], row["range"]) == (78000.0, 42600.0, None)
+    spark.createDataFrame([(1, 9, "2024-01-01", 1000.0, float("nan"))], "flight_id int, icao24 long, timestamp string, altitude double, track double").write.parquet(str(tmp_path / "t"))
+    row = readers.trajectories(spark, str(tmp_path / "t")).first()
+    assert row["altitude"] == pytest.approx(304.8) and row["track"] is None
+    assert readers.table_folder(spark, str(tmp_path / "t")).first()["track"] is None
+
+
+def test_synonyms_and_thrust(spark):
+    df = spark.createDataFrame([("BCS3",), ("b738",), (None,)], "kind string")
+    assert [r[0] for r in df.select(s.synonyms(F.col("kind"))).collect()] == ["a319", "b738", None]
+    assert len(s.SYNONYMS) == 12
+    h, v = F.lit(3000.0), F.lit(150.0)
+    full, idle = spark.range(1).select(s.max_climb_thrust(h, v, F.lit(2e5)), s.idle_thrust(h, v, F.lit(2e5))).first()
+    assert 0 < idle < full < 2e5
+
+
+def test_a_constant_target_has_scale_one(spark):
+    df = spark.createDataFrame([(1, "A", 5.0), (2, "A", 5.0)], "flight_id long, aircraft_type string, tow double")
+    for scaler in (scaling.Standard(), scaling.Observed(least=1)):
+        assert [tuple(r) for r in scaler.fit(df).transform(df).select("label", "weight").collect()] == [(0.0, 1.0)] * 2
