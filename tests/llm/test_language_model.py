@@ -38,6 +38,28 @@ def test_packed_round_trip():
     assert (lm.unpacked(lm.packed(x)) == x).all() and len(lm.unpacked(lm.packed(x[:0]))) == 0
 
 
+@pytest.mark.parametrize("bits", [8, 40, 50, 62])
+def test_codes_are_ranked_by_a_plain_sort(bits, monkeypatch):
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 1 << bits, 50_000, np.uint64)
+    code[::7] = code[3]
+    order = np.argsort(code, kind="stable")
+    sizes = rng.integers(0, 40, 500)
+    shard = lm.Shard(sizes, rng.integers(0, 1 << 62, 300, np.uint64), rng.integers(0, 300, int(sizes.sum())))
+    wanted = [np.unique(lm.mixed(shard.grams[k - 1][shard.scored if k == lm.ORDER else shard.asked] + np.uint64(k)) >> np.uint64(24), return_counts=True) for k in (1, 2, 3)]
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: pytest.fail("stable sort of places"))
+    found = lm.ranked(code, bits)
+    assert (found[0] == code[order]).all() and (found[1] == order).all()
+    for k in (1, 2, 3):
+        for got in (shard.kinds(k, 40), shard.counted(k, 40)):
+            assert (got[0] == wanted[k - 1][0]).all() and (got[1] == wanted[k - 1][1]).all()
+    monkeypatch.setattr(np, "argsort", argsort)
+    near = (np.uint64(1) << np.uint64(61)) + rng.integers(0, 3, 50_000, np.uint64)  # differ in bits that don't fit beside the place
+    assert (lm.ranked(near, 62)[1] == np.argsort(near, kind="stable")).all()
+    assert [len(x) for x in lm.ranked(code[:0], bits)] == [0, 0]
+
+
 def grams(text, k):
     row = ["<", "<", *words(text), ">"] if words(text) else []
     return [tuple(row[i - k + 1 : i + 1]) for i in range(2 if k == lm.ORDER else 1, len(row))]

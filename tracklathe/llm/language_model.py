@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -49,14 +50,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+@functools.cache
+def coders() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair a process: messages are many and small, and a new pair costs more than most of them."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes; planes of zeros take no room."""
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    return coders()[0].compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.uint64)
+    raw = np.frombuffer(coders()[1].decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view("<u8").ravel().astype(np.uint64, copy=False)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
+@functools.cache
+def usual_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(BASE, n), powers(INVERSE, n)
+
+
+def ranked(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ``bits`` bits in order, and the places they came from, in order within a code.
+
+    A plain sort of numbers that hold a code and, below it, its place is several times as fast as a stable sort of
+    places. Where both have no room in 64 bits the code's last ones are left out, and seldom make a difference.
+    """
+    low = max(1, (len(code) - 1).bit_length())
+    spare = max(0, bits + low - 64)
+    both = np.sort(code >> np.uint64(spare) << np.uint64(low) | np.arange(len(code), dtype=np.uint64))
+    order = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    found = code[order] if spare else both >> np.uint64(low)
+    if spare and (found[1:] < found[:-1]).any():
+        order = np.argsort(code, kind="stable")
+        found = code[order]
+    return found, order
 
 
 def pieces(row: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -86,24 +122,19 @@ def hashed(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = start | (kind == 0)
         stops = np.append(np.flatnonzero(edge), len(b))
         last = stops[np.searchsorted(stops, first, "right")] if len(first) else first
-        power = np.full(len(b) + 1, BASE, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
+        power, inverse = usual_powers(2 * CHUNK) if len(b) <= 2 * CHUNK else (powers(BASE, len(b)), powers(INVERSE, len(b)))
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        power.fill(INVERSE)
-        power[0] = 1
-        np.cumprod(power, out=power)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
         places.append(first + lo)
-        hashes.append(mixed((sums[last] - sums[first]) * power[first] + (last - first).astype(np.uint64)))
+        hashes.append(mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
     return np.concatenate(places), np.concatenate(hashes)
 
 
 class Shard:
     """Texts in a row: for each text that has words two marks of the beginning, its words, and a mark of the end."""
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, places: np.ndarray):
-        """sizes: words of each text; words: distinct hashes; places: of each word of all texts in ``words``."""
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, places: np.ndarray | slice):
+        """sizes: words of each text; words: distinct hashes; places: of each word of all texts in ``words``, or a slice of it."""
         self.sizes = sizes
         full = np.flatnonzero(sizes > 0)
         length = sizes[full] + 3
@@ -124,20 +155,31 @@ class Shard:
 
     def kinds(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams of k words: distinct codes in order, their counts, and for each place its code's place and count in its own text."""
-        at = self.scored if k == ORDER else self.asked
-        code = mixed(self.grams[k - 1][at] + np.uint64(k)) >> np.uint64(64 - bits)
-        order = np.argsort(code, kind="stable")  # texts stay in order within a code
-        code, text = code[order], self.text[at][order]
-        new = np.ones(len(code), bool)
-        new[1:] = code[1:] != code[:-1]
+        code, at, new, first = self.sorted(k, bits)
+        text = self.text[at]
         fresh = new.copy()
         fresh[1:] |= text[1:] != text[:-1]
-        first, run = np.flatnonzero(new), np.flatnonzero(fresh)
+        run = np.flatnonzero(fresh)
+        size = np.diff(np.append(run, len(code)))
         place, own = np.zeros(len(self.text), np.int64), np.zeros(len(self.text), np.int64)
-        place[at[order]] = np.cumsum(new) - 1
-        own[at[order]] = np.repeat(np.diff(np.append(run, len(code))), np.diff(np.append(run, len(code))))
+        place[at] = np.cumsum(new) - 1
+        own[at] = np.repeat(size, size)
         return code[first], np.diff(np.append(first, len(code))), place, own
 
+    def counted(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first two of kinds()."""
+        code, _, _, first = self.sorted(k, bits)
+        return code[first], np.diff(np.append(first, len(code)))
+
+    def sorted(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes in order, their places in the row, whether a code is another than the one before, and where that is so."""
+        at = self.scored if k == ORDER else self.asked
+        code = mixed(self.grams[k - 1][at] + np.uint64(k)) >> np.uint64(64 - bits)
+        code, order = ranked(code, bits)  # texts stay in order within a code
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        return code, at[order], new, np.flatnonzero(new)
+
 
 def shown(docs: DataFrame) -> DataFrame:
     """doc_id, lower-cased text, and whether the text is held out."""
@@ -145,8 +187,10 @@ def shown(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), held.alias("held"))
 
 
-def shards(batches: Iterator[pa.RecordBatch], sides: tuple[bool, ...] = (False, True)) -> Iterator[tuple[int, bool, list, Shard, np.ndarray, np.ndarray]]:
-    """Shards of one partition, cut in the order of its rows: id, held, doc_ids, the shard, its distinct words and their places.
+def shards(batches: Iterator[pa.RecordBatch], sides: tuple[bool, ...] = (False, True), distinct: bool = True) -> Iterator[tuple[int, bool, list, np.ndarray, np.ndarray, np.ndarray | slice]]:
+    """Shards of one partition, cut in the order of its rows: id, held, doc_ids, words of each text, distinct words and their places.
+
+    Without ``distinct`` the words are given as they come, in place of distinct ones.
 
     A shard's texts are all held out or none is. An id tells the partition, the side and the shard's number.
     """
@@ -158,10 +202,12 @@ def shards(batches: Iterator[pa.RecordBatch], sides: tuple[bool, ...] = (False,
     def close(side: bool):
         ids = [i for found, _, _ in parts[side] for i in found]
         sizes = np.concatenate([n for _, n, _ in parts[side]])
-        words, places = np.unique(np.concatenate([h for _, _, h in parts[side]]), return_inverse=True)
+        words, places = np.concatenate([h for _, _, h in parts[side]]), slice(None)
+        if distinct:
+            words, places = np.unique(words, return_inverse=True)
         shard = (home << 24) + (number[side] << 1) + side
         parts[side], size[side], number[side] = [], 0, number[side] + 1
-        return shard, side, ids, Shard(sizes, words, places), words, places
+        return shard, side, ids, sizes, words, places
 
     for b in batches:
         held = np.asarray(b.column(2).to_pylist(), bool)
@@ -202,8 +248,9 @@ def requests(bits: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(p << bits) // parts for p in range(parts + 1)], np.uint64)
-        for number, held, _, shard, _, _ in shards(batches):
-            found = [shard.kinds(k, bits)[:2] for k in range(1, ORDER + 1)]
+        for number, held, _, *body in shards(batches, distinct=False):
+            shard = Shard(*body)
+            found = [shard.counted(k, bits) for k in range(1, ORDER + 1)]
             cuts = [np.searchsorted(code, edges) for code, _ in found]
             rows = []
             for p in range(parts):
@@ -226,6 +273,7 @@ def answers(bits: int, parts: int):
 
     def run(asked: pa.Table) -> pa.Table:
         edges = np.array([(int(asked["part"][0].as_py()) << bits) // parts], np.uint64)
+        width = ((1 << bits) // parts + 1).bit_length()
         shard, held = asked["shard"].to_numpy(), asked["held"].to_numpy()
         sizes = np.stack([asked[f"n{k}"].to_numpy() for k in range(1, ORDER + 1)], 1)
         steps, counts = ([unpacked(x.as_py()) for x in asked[c]] for c in ("codes", "counts"))
@@ -233,9 +281,13 @@ def answers(bits: int, parts: int):
         distinct = words = 0
         for k in range(ORDER):
             lo, hi = sizes[:, :k].sum(1), sizes[:, : k + 1].sum(1)
-            code = np.concatenate([np.cumsum(s[a:b]) for s, a, b in zip(steps, lo, hi)]) + edges
+            code = np.concatenate([np.cumsum(s[a:b]) for s, a, b in zip(steps, lo, hi)])
             n = np.concatenate([c[a:b] for c, a, b in zip(counts, lo, hi)]).astype(np.int64)
-            known, place = np.unique(code, return_inverse=True)
+            code, order = ranked(code, width)
+            new = np.ones(len(code), bool)
+            new[1:] = code[1:] != code[:-1]
+            known, place = code[new] + edges, np.empty(len(code), np.int64)
+            place[order] = np.cumsum(new) - 1
             whole = np.bincount(place, n, len(known)).astype(np.int64)
             out = np.bincount(place, n * np.repeat(held, hi - lo), len(known)).astype(np.int64)
             if k == 0:
@@ -257,8 +309,8 @@ def bodies(sides: tuple[bool, ...]):
     """mapInArrow function: a row for each shard, its texts as places in the list of its distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, ids, shard, words, places in shards(batches, sides):
-            yield batch([(number, ids, shard.sizes.tolist(), packed(np.diff(words, prepend=np.uint64(0))), packed(places))], BODY)
+        for number, _, ids, sizes, words, places in shards(batches, sides):
+            yield batch([(number, ids, sizes.tolist(), packed(np.diff(words, prepend=np.uint64(0))), packed(places))], BODY)
 
     return run
 
