@@ -85,6 +85,12 @@ def test_unwrap_is_numpys(spark, angles):
     assert np.allclose(got, np.unwrap(angles, period=360), atol=1e-6)
 
 
+@pytest.mark.parametrize("angles", [[180.00000000000003, 0.0], [0.0, 180.00000000000003], [180.0, 0.0], [0.0, 180.0], [540.0000000000001, 0.0, 359.99999999999994]])
+def test_unwrap_at_half_a_turn(spark, angles):
+    got = values(sequence.unwrap(flight(spark, track=angles), "track", "out"), "out")
+    assert np.allclose(got, np.unwrap(angles, period=360), atol=1e-6)
+
+
 def test_energy_rate(spark):
     rows = [(1, float(i), 100.0 + i, 100.0, 288.15 - 0.0065 * (100.0 + i), 0.0, 0.0, 100.0, 0.0) for i in range(7)]
     df = spark.createDataFrame(rows, "flight_id long, t double, altitude double, tas double, temperature double, u_component_of_wind double, v_component_of_wind double, tasx double, tasy double")
