@@ -179,6 +179,12 @@ def test_few_candidates_where_many_sites_lie():
         assert sorted(distance[row == i]) == pytest.approx(np.sort(np.sqrt(((x[i] - sites) ** 2).sum(1)))[:2].tolist()) and reach[i] == max(distance[row == i])
 
 
+def test_thunder_lists_no_pairs(spark, flights, airports, monkeypatch):
+    monkeypatch.setattr(spatial, "met", lambda *_: pytest.fail("pairs by cells"))
+    row = weather.thunder(flights, airports, metars(spark), ("FG", "+TS", "none"), (2, 3)).first()
+    assert [row[f"thunder_max_{c}_{r}_ades"] for r in (2, 3) for c in ("FG", "pTS", "none")] == [0, 1, 0, 1, 1, 0]
+
+
 def test_airports(spark, flights):
     raw = spark.createDataFrame([("A", "X", 1.0, 2.0), ("Q", "B", 1.0, 2.0), ("EGSY", "A", 0.0, 0.0), ("U", "V", 0.0, 0.0)], "ident string, gps_code string, latitude_deg double, longitude_deg double")
     used = ports.used_airports([flights])
