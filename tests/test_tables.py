@@ -246,6 +246,16 @@ def test_model(spark):
     assert fitted.predict(odd).where("tow IS NULL").count() == 0
 
 
+def test_a_fit_holds_even_parts(spark, monkeypatch):
+    monkeypatch.setattr(model, "ROWS", 20)
+    parts = []
+    whole = model.GBTRegressor.fit
+    monkeypatch.setattr(model.GBTRegressor, "fit", lambda self, df: parts.append(df.rdd.glom().map(len).collect()) or whole(self, df))
+    df = spark.createDataFrame([(i, float(i % 10), 100.0 + i) for i in range(200)], "flight_id long, x double, tow double").coalesce(1)
+    model.fit(features.FeatureSet(df, [], ["x"]), scaling.Standard(), model.Params(trees=2, depth=2))
+    assert sum(parts[0]) == 200 and max(parts[0]) <= 40 and len(parts[0]) == 10
+
+
 def test_search():
     space = {"a": [1, 2, 3, 4], "b": [10, 20]}
     score = lambda c: (c["a"] - 3) ** 2 + c["b"]

@@ -17,6 +17,8 @@ from tracklathe.operators.scaling import TargetScaler
 
 #: A missing number; trees split it off.
 MISSING = -1e9
+#: Rows of a part that a fit holds in memory, some 250 bytes each; larger parts, by the layout of files, are dealt out anew.
+ROWS = 500_000
 
 
 @dataclass
@@ -111,12 +113,23 @@ def assemble(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(filled)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in even parts of at most some ROWS rows; as it is if it has no more in all."""
+    n = df.count()
+    return df.repartition(max(-(-n // ROWS), df.sparkSession.sparkContext.defaultParallelism)) if n > ROWS else df
+
+
 def fit(features: FeatureSet, scaler: TargetScaler, params: Params = Params()) -> Fitted:
-    """Boosted trees on scaled targets, each row weighed as the scaler says."""
+    """Boosted trees on scaled targets, each row weighed as the scaler says.
+
+    Rows are drawn for each tree by part, so the fit depends on how rows are dealt out, within the chance of the draw.
+    """
     encoder = OrdinalEncoder(features.categorical).fit(features.df)
     rows = scaler.fit(features.df).transform(encoder.transform(features.df)).where("label IS NOT NULL")
     gbt = GBTRegressor(maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate, maxBins=params.bins, subsamplingRate=params.rows, featureSubsetStrategy=params.features, seed=params.seed, weightCol="weight")
-    return Fitted(encoder, features.names, scaler, gbt.fit(assemble(rows, encoder.inputs(features.names)).select("features", "label", "weight")))
+    inputs = encoder.inputs(features.names)
+    rows = dealt(rows.select(*inputs, "label", "weight"))
+    return Fitted(encoder, features.names, scaler, gbt.fit(assemble(rows, inputs).select("features", "label", "weight")))
 
 
 def candidates(space: dict[str, list], n: int, seed: int) -> Iterator[dict]:
